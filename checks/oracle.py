@@ -125,7 +125,7 @@ PARTS: dict[str, str] = {
         from (select * from area_grid, near) p asof left join changes c
         on p.nuid = c.nuid and p.sample_ts >= c.timestamp""",
     "area_state": """select sample_ts, local_month, local_hour, sum(coalesce(bikes, 0)) as total,
-        count_if(bikes > 0) as stocked from area_sample group by all""",
+        count_if(coalesce(bikes, 0) > 0) as stocked from area_sample group by all""",
     "city_grid": f"""select unnest(generate_series((select min(timestamp) from changes),
         (select max(timestamp) from changes), interval '{CITY_MINUTES} minutes')) as sample_ts""",
     "span": """select nuid, timestamp as a, lead(timestamp, 1, timestamp '2999-01-01') over

@@ -278,6 +278,6 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
 
 def queries() -> dict[str, Query]:
     def bind(build: Callable[[Tables], DataFrame]) -> Query:
-        return lambda spark, folder: build(Tables(spark, folder))
+        return lambda spark, folder: build(Tables.of(spark, folder))
 
     return {name: bind(build) for name, build in ON_TABLES.items()}

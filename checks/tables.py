@@ -14,17 +14,36 @@ from pyspark.sql import functions as F
 
 from stationflow.functions.clock import HOUR_US, SECOND_US, epoch_us, floor_div, utc_wall
 from stationflow.operators.stations import collection_runs
+from stationflow.session import settle
 
 ORIGIN = (49.199088, 16.607361)
 RADIUS_M = 1600
 TZ = "Europe/Prague"
 
 
+_KNOWN: dict[tuple[str, str], Tables] = {}
+
+
+def stored(build):
+    """A table that is written once, as the library's users keep theirs, and read from then on."""
+
+    def write(self):
+        return settle(build(self), build.__name__)
+
+    return cached_property(write)
+
+
 @dataclass
 class Tables:
     spark: SparkSession
     folder: str
 
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Tables:
+        """The tables of a folder; those stored once stay stored for the session."""
+        key = (spark.sparkContext.applicationId, folder)
+        return _KNOWN.setdefault(key, cls(spark, folder))
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -44,7 +63,7 @@ class Tables:
             F.when(~unknown, (F.floor("value") % 4).cast("int")).alias("bikes"),
         )
 
-    @cached_property
+    @stored
     def stations(self) -> DataFrame:
         key = F.col("c_custkey")
         placed = key % 29 != 0
@@ -59,7 +78,7 @@ class Tables:
             F.when(key % 17 != 0, 4 + key % 8).cast("int").alias("capacity"),
         )
 
-    @cached_property
+    @stored
     def info(self) -> DataFrame:
         """Two versions of each station, the older one with a name in lower case."""
         versions = F.inline(
@@ -71,7 +90,7 @@ class Tables:
         rows = self.stations.select("*", versions)
         return rows.withColumn("name", F.when(F.col("old"), F.lower("name")).otherwise(F.col("name"))).drop("old")
 
-    @cached_property
+    @stored
     def status(self) -> DataFrame:
         """Hourly panel: last known stock in the hour."""
         known = F.max(F.when(F.col("bikes").isNotNull(), F.struct("us", "bikes")))["bikes"]
@@ -84,7 +103,7 @@ class Tables:
         docks = F.when(F.col("station_id").cast("long") % 11 != 0, 8 - F.coalesce("num_bikes_available", F.lit(0)))
         return rows.withColumn("num_docks_available", docks)
 
-    @cached_property
+    @stored
     def free(self) -> DataFrame:
         """Vehicle sightings; one on an 'error' row is at no station."""
         places = self.stations.select("station_id", "lat", "lon")
@@ -97,7 +116,7 @@ class Tables:
             "lon",
         )
 
-    @cached_property
+    @stored
     def free_hourly(self) -> DataFrame:
         """Vehicle feed at the panel's times: last sighting in the hour."""
         last = self.events.groupBy(F.col("hour_ts").alias("collected_at"), "bike_id").agg(
@@ -107,11 +126,11 @@ class Tables:
             "collected_at", "bike_id", F.when(~F.col("s.loose"), F.col("s.station_id")).alias("station_id")
         )
 
-    @cached_property
+    @stored
     def runs(self) -> DataFrame:
         return collection_runs(self.status, self.free_hourly)
 
-    @cached_property
+    @stored
     def minute_runs(self) -> DataFrame:
         """Irregular run times: minutes in which anything happened."""
         us = F.col("us")
@@ -121,7 +140,7 @@ class Tables:
             F.count(F.lit(1)).alias("station_count"), F.sum(F.coalesce("bikes", F.lit(0))).alias("bikes_available")
         )
 
-    @cached_property
+    @stored
     def changes(self) -> DataFrame:
         """Change log with a vehicle list in JSON; an 'error' event lists none."""
         seen = self.events.join(self.stations.select("station_id", "name", "lat", "lon"), "station_id")

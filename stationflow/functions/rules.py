@@ -31,6 +31,11 @@ def share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 
 
+def tally(condition: Column) -> Column:
+    """Rows where the condition holds; NULL, not 0, where it is unknown for every row of the group."""
+    return F.sum(condition.cast("long"))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 when whole is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / F.nullif(whole, F.lit(0)))

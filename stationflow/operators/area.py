@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stationflow.functions.clock import epoch_us, hour_label
 from stationflow.functions.geo import distance_m, whole_metres
-from stationflow.functions.rules import require, require_point, round_to, share
+from stationflow.functions.rules import require, require_point, round_to, share, tally
 from stationflow.operators.stations import latest_station_info, latest_time, station_label
 from stationflow.plans.restrict import restrict
 from stationflow.plans.twolevel import with_previous
@@ -71,8 +71,8 @@ class Area:
         bikes = F.col("num_bikes_available")
         return self._at_latest().agg(
             F.sum(bikes).alias("total_bikes"),
-            F.count_if(bikes > 0).alias("stations_with_bikes"),
-            F.count_if(bikes == 0).alias("empty_stations"),
+            tally(bikes > 0).alias("stations_with_bikes"),
+            tally(bikes == 0).alias("empty_stations"),
         )
 
     def station_table(self, limit: int = 12) -> DataFrame:
@@ -95,7 +95,7 @@ class Area:
     def hourly(self) -> DataFrame:
         bikes = F.col("num_bikes_available")
         per_time = self.rows.groupBy("collected_at").agg(
-            F.sum(bikes).alias("total"), F.count_if(bikes > 0).alias("stocked"), F.count_if(bikes == 0).alias("empty")
+            F.sum(bikes).alias("total"), tally(bikes > 0).alias("stocked"), tally(bikes == 0).alias("empty")
         )
         hour = hour_label(epoch_us(per_time, "collected_at"), self.tz).alias("local_hour")
         return per_time.groupBy(hour).agg(

@@ -8,9 +8,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.functions.clock import epoch_us, hour_label, month_label, time_like
+from stationflow.functions.clock import epoch_us, hour_label, month_label
 from stationflow.functions.geo import distance_m, whole_metres
-from stationflow.functions.rules import require, require_point, round_to, share
+from stationflow.functions.rules import require, require_point, round_to, share, tally
 from stationflow.plans.carry import Grid, on_ticks, states, totals_per_tick
 from stationflow.plans.restrict import restrict
 from stationflow.session import settle
@@ -41,7 +41,7 @@ def history_monthly(changes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum("bikes").alias("bikes"),
         F.count("bikes").alias("known"),
-        F.count_if(F.col("bikes") == 0).alias("empty"),
+        tally(F.col("bikes") == 0).alias("empty"),
     )
     return per_station.groupBy("month_key").agg(
         F.sum("n").alias("change_rows"),
@@ -123,16 +123,16 @@ class AreaHistory:
 
     @cached_property
     def labelled_totals(self) -> DataFrame:
-        chosen = self.stations.agg(F.count(F.lit(1)).alias("n")).scalar()
-        totals = totals_per_tick(self.grid, self.state).where(chosen > 0)
+        chosen = self.stations.count()
+        totals = totals_per_tick(self.grid, self.state).where(F.lit(chosen > 0))
         us = self.grid.tick_us(F.col("tick"))
         return totals.select(
             self.grid.tick_time(F.col("tick")).alias("sample_ts"),
             hour_label(us, self.tz).alias("local_hour"),
             month_label(us, self.tz).alias("local_month"),
             F.coalesce("total_bikes", F.lit(0)).alias("total_bikes"),
-            "with_bikes",
-            (chosen - F.col("with_bikes")).alias("empty_stations"),
+            F.coalesce("with_bikes", F.lit(0)).alias("with_bikes"),
+            (F.lit(chosen) - F.coalesce("with_bikes", F.lit(0))).alias("empty_stations"),
         )
 
     def samples(self) -> DataFrame:
@@ -311,7 +311,3 @@ def station_map_table(rates: DataFrame, local: DataFrame) -> DataFrame:
 
 def worst_months(monthly: DataFrame, limit: int = 5) -> DataFrame:
     return monthly.orderBy(F.col("all_empty_rate").desc(), "local_month").limit(limit)
-
-
-def change_time(changes: DataFrame, us: Column) -> Column:
-    return time_like(changes, "timestamp", us)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.functions.rules import require, round_to, share, stock_risk
+from stationflow.functions.rules import require, round_to, share, stock_risk, tally
 
 DIMENSION = ["name", "short_name", "region_id", "lat", "lon", "capacity"]
 
@@ -77,8 +77,8 @@ def db_summary(runs: DataFrame, status: DataFrame) -> DataFrame:
 def _state_aggregates() -> list[Column]:
     bikes = F.col("num_bikes_available")
     return [
-        F.count_if(bikes == 0).alias("empty_stations"),
-        F.count_if(bikes > 0).alias("stations_with_bikes"),
+        tally(bikes == 0).alias("empty_stations"),
+        tally(bikes > 0).alias("stations_with_bikes"),
         round_to(F.avg(bikes), 2).alias("avg_bikes_per_station"),
         F.max(bikes).alias("max_bikes_at_station"),
     ]

@@ -20,14 +20,16 @@ from stationflow.functions.rules import require
 from stationflow.plans.twolevel import with_running_sums
 
 TICKS_PER_BIN = 4_096
+SHORT_GRID = 100_000  # ticks one task may add up; longer grids go in two levels
 
 
 @dataclass
 class Grid:
     """Ticks from the first to the last change, both ends included.
 
-    ``catalog`` is an optional small table with ``first_us`` and ``last_us`` per station; with it the
-    bounds are known without another scan of the changes.
+    The bounds are one row, fetched once, so every plan below works with plain numbers. ``catalog`` is an
+    optional small table with ``first_us`` and ``last_us`` per station; with it the bounds need no
+    scan of the changes.
     """
 
     changes: DataFrame
@@ -42,32 +44,34 @@ class Grid:
         return self.minutes * MINUTE_US
 
     @cached_property
-    def bounds(self) -> Column:
+    def bounds(self) -> tuple[int, int]:
+        """First and last change; (0, -1) if there is none."""
         if self.catalog is not None:
-            return self.catalog.agg(F.struct(F.min("first_us").alias("lo"), F.max("last_us").alias("hi"))).scalar()
-        us = epoch_us(self.changes, "timestamp")
-        return self.changes.agg(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"))).scalar()
+            row = self.catalog.agg(F.min("first_us"), F.max("last_us")).first()
+        else:
+            us = epoch_us(self.changes, "timestamp")
+            row = self.changes.agg(F.min(us), F.max(us)).first()
+        return (0, -1) if row[0] is None else (row[0], row[1])
 
-    def start_us(self) -> Column:
-        return self.bounds.getField("lo")
-
-    def last_tick(self) -> Column:
-        return floor_div(self.bounds.getField("hi") - self.bounds.getField("lo"), self.step_us)
+    @property
+    def last_tick(self) -> int:
+        """-1 without any change."""
+        first, last = self.bounds
+        return (last - first) // self.step_us
 
     def tick_of(self, us: Column) -> Column:
         """First tick at or after ``us``."""
-        return floor_div(us - self.start_us() + (self.step_us - 1), self.step_us)
+        return floor_div(us - self.bounds[0] + (self.step_us - 1), self.step_us)
 
     def tick_us(self, tick: Column) -> Column:
-        return self.start_us() + tick * self.step_us
+        return tick * self.step_us + self.bounds[0]
 
     def tick_time(self, tick: Column) -> Column:
         return time_like(self.changes, "timestamp", self.tick_us(tick))
 
     def ticks(self) -> DataFrame:
         """One row per tick."""
-        one = self.changes.sparkSession.range(1)
-        return one.select(F.explode(F.sequence(F.lit(0).cast("long"), self.last_tick())).alias("tick"))
+        return self.changes.sparkSession.range(self.last_tick + 1).withColumnRenamed("id", "tick")
 
 
 def states(grid: Grid, changes: DataFrame | None = None, stations: DataFrame | None = None) -> DataFrame:
@@ -79,7 +83,7 @@ def states(grid: Grid, changes: DataFrame | None = None, stations: DataFrame | N
     changes = grid.changes if changes is None else changes
     us = epoch_us(changes, "timestamp")
     seen = changes.where(F.col("nuid").isNotNull()).select("nuid", us.alias("us"), "bikes")
-    seen = seen.withColumn("lo", grid.tick_of(F.col("us"))).where(F.col("lo") <= grid.last_tick())
+    seen = seen.withColumn("lo", grid.tick_of(F.col("us"))).where(F.col("lo") <= grid.last_tick)
     if stations is not None:
         before = F.lit(-(2**63) + 1).cast("long")
         blank = F.lit(None).cast(dict(changes.dtypes)["bikes"])
@@ -88,7 +92,7 @@ def states(grid: Grid, changes: DataFrame | None = None, stations: DataFrame | N
     visible = seen.groupBy("nuid", "lo").agg(F.max(F.struct("us", "bikes")).alias("s"))
     following = F.lead("lo").over(Window.partitionBy("nuid").orderBy("lo"))
     return visible.select(
-        "nuid", "lo", F.coalesce(following - 1, grid.last_tick()).alias("hi"), F.col("s.bikes").alias("bikes")
+        "nuid", "lo", F.coalesce(following - 1, F.lit(grid.last_tick).cast("long")).alias("hi"), F.col("s.bikes").alias("bikes")
     )
 
 
@@ -98,7 +102,8 @@ def on_ticks(state: DataFrame) -> DataFrame:
 
 
 def totals_per_tick(grid: Grid, state: DataFrame) -> DataFrame:
-    """(tick, total_bikes, observed, with_bikes, empty) over all stations that have a state.
+    """(tick, observed, total_bikes, with_bikes, empty) over all stations that have a state; the last three
+    are NULL where no station's stock is known.
 
     Every state contributes its difference to the station's state before; running sums over the
     ticks give the totals, so the cost follows the changes and not stations x ticks.
@@ -114,9 +119,16 @@ def totals_per_tick(grid: Grid, state: DataFrame) -> DataFrame:
     track = Window.partitionBy("nuid").orderBy("lo")
     steps = numbers.select("lo", *[(F.col(n) - F.coalesce(F.lag(n).over(track), F.lit(0))).alias(n) for n in parts])
     per_tick = steps.groupBy(F.col("lo").alias("tick")).agg(*[F.sum(n).alias(f"d_{n}") for n in parts])
-    dense = grid.ticks().join(per_tick, "tick", "left").fillna(0)
-    sums = with_running_sums(
-        dense, [], floor_div(F.col("tick"), TICKS_PER_BIN), [F.col("tick")], {n: f"d_{n}" for n in parts}
-    )
-    total = F.when(F.col("known") > 0, F.col("total_bikes"))
-    return sums.select("tick", total.alias("total_bikes"), "observed", "with_bikes", "empty")
+    dense = grid.ticks().join(per_tick, "tick", "left")
+    filled = dense.select("tick", *[F.coalesce(f"d_{n}", F.lit(0)).alias(f"d_{n}") for n in parts])
+    deltas = {n: f"d_{n}" for n in parts}
+    if grid.last_tick < SHORT_GRID:
+        so_far = Window.partitionBy(F.lit(0)).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+        sums = filled.select("tick", *[F.sum(d).over(so_far).alias(n) for n, d in deltas.items()])
+    else:
+        sums = with_running_sums(filled, [], floor_div(F.col("tick"), TICKS_PER_BIN), [F.col("tick")], deltas)
+
+    def if_known(name: str) -> Column:
+        return F.when(F.col("known") > 0, F.col(name)).alias(name)
+
+    return sums.select("tick", "observed", *[if_known(n) for n in ("total_bikes", "with_bikes", "empty")])

@@ -88,11 +88,6 @@ def low_stock_probability(bikes: Column, threshold: int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), linear))
 
 
-def percent(df, *names: str):
-    """Add ``<name>_pct`` for each rate column."""
-    return df.withColumns({f"{name}_pct": F.col(name) * 100 for name in names})
-
-
 def require(condition: bool, message: str) -> None:
     if not condition:
         raise ValueError(message)

@@ -83,6 +83,11 @@ class Flows:
             month_label(F.col("prev.us"), self.tz).alias("local_month"),
         )
 
+    def hold(self) -> Flows:
+        """Settle the moves, for a report that derives many tables from them."""
+        self.moves = settle(self.moves, "moves")
+        return self
+
     def _directions(self) -> dict[str, Column]:
         was_in = F.col("prev_distance_m") <= self.radius_m
         is_in = F.col("distance_m") <= self.radius_m

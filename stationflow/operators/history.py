@@ -121,6 +121,11 @@ class AreaHistory:
     def state(self) -> DataFrame:
         return states(self.grid, restrict(self.changes, "nuid", self.stations), self.stations)
 
+    def hold(self) -> AreaHistory:
+        """Settle the station states, for a report that derives many tables from them."""
+        self.state = settle(self.state, "states")
+        return self
+
     @cached_property
     def labelled_totals(self) -> DataFrame:
         chosen = self.stations.count()
@@ -243,15 +248,27 @@ class CityHistory:
     changes: DataFrame
     sample_minutes: int = 60
     tz: str = "Europe/Prague"
+    catalog: DataFrame | None = None
 
     @cached_property
     def grid(self) -> Grid:
-        return Grid(self.changes, self.sample_minutes)
+        return Grid(self.changes, self.sample_minutes, self.catalog)
+
+    @property
+    def _stations(self) -> DataFrame:
+        if self.catalog is None:
+            return station_latest_position(self.changes)
+        return self.catalog.drop("first_us", "last_us")
 
     @cached_property
     def state(self) -> DataFrame:
         return states(self.grid)
 
+    def hold(self) -> CityHistory:
+        """Settle the station states, for a report that derives many tables from them."""
+        self.state = settle(self.state, "states")
+        return self
+
     @cached_property
     def labelled_totals(self) -> DataFrame:
         us = self.grid.tick_us(F.col("tick"))
@@ -260,7 +277,7 @@ class CityHistory:
 
     def samples(self) -> DataFrame:
         """Station x tick with the station's latest name and position."""
-        ticks = on_ticks(self.state.join(station_latest_position(self.changes), "nuid"))
+        ticks = on_ticks(self.state.join(self._stations, "nuid"))
         us = self.grid.tick_us(F.col("tick"))
         return ticks.select(
             self.grid.tick_time(F.col("tick")).alias("sample_ts"),
@@ -300,7 +317,7 @@ class CityHistory:
 
     def station_rates(self) -> DataFrame:
         rates = state_rates(self.state, missing_is_zero=False, digits=3)
-        return rates.join(station_latest_position(self.changes), "nuid")
+        return rates.join(self._stations, "nuid")
 
 
 def station_map_table(rates: DataFrame, local: DataFrame) -> DataFrame:

@@ -178,6 +178,12 @@ class Movements:
         touching = again.where(self._inside("from_") | self._inside("to_"))
         return touching.unionByName(self._not_seen())
 
+    def hold(self) -> Movements:
+        """Settle the departures, for a report that derives many tables from them."""
+        self._known_departures = settle(self._known_departures, "departures")
+        self._departures = settle(self._departures, "departures")
+        return self
+
     @cached_property
     def _known_departures(self) -> DataFrame:
         """Left a known station in the radius and was seen elsewhere."""

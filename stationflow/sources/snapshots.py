@@ -89,15 +89,19 @@ def run_rows(raw: DataFrame) -> DataFrame:
 def append_new(rows: DataFrame, path: str, stamp: str = "collected_at") -> None:
     """Append rows of snapshots the table does not hold yet, in date partitions.
 
-    A repeated call with the same snapshots adds nothing. The anti join also carries the date, so only
-    the touched date folders are compared.
+    A repeated call with the same snapshots adds nothing. Only the date folders that the new rows fall
+    into are looked at.
     """
     spark = rows.sparkSession
     dated = rows.withColumn("date", snapshot_date(rows, stamp))
+    days = dated.agg(F.min("date"), F.max("date")).first()
+    if days[0] is None:
+        return
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     if exists:
-        held = spark.read.parquet(path).select("date", stamp).distinct()
+        table = spark.read.schema(dated.schema).parquet(path)
+        held = table.where(F.col("date").between(*days)).select("date", stamp).distinct()
         dated = dated.join(held, ["date", stamp], "left_anti")
     dated.write.mode("append").partitionBy("date").parquet(path)
 

@@ -19,6 +19,7 @@ from checks.registry import (
     HOUR,
     SPANS,
 )
+from checks.streams import HORIZON, MAX_DELAY, STREAM_GAP_SECONDS, STREAM_WINDOW
 from checks.tables import ORIGIN, RADIUS_M, TZ
 from stationflow.operators.backtest import ORIGINS, STRATEGIES
 
@@ -96,6 +97,9 @@ PARTS: dict[str, str] = {
         from (select collected_at, count(*) as n, cast(sum(coalesce(num_bikes_available, 0)) as bigint) as b
               from status group by 1) s
         left join (select collected_at, count(*) as n from free_hourly group by 1) f using (collected_at)""",
+    "hourly_pair": """select *, lead(collected_at) over w as t, lead(station_id) over w as s,
+        row_number() over (partition by bike_id order by collected_at desc) = 1 as final
+        from free_hourly window w as (partition by bike_id order by collected_at)""",
     "minute_runs": """select date_trunc('minute', ts) as collected_at, count(*) as station_count,
         cast(sum(coalesce(bikes, 0)) as bigint) as bikes_available from ev group by 1""",
     "changes": """select ts as timestamp, station_id as nuid, name, lat as latitude, lon as longitude, bikes,
@@ -673,5 +677,33 @@ def statements() -> dict[str, str]:
     }
 
 
+def stream_statements() -> dict[str, str]:
+    """What a stream must give out once all snapshots have landed; the marker snapshot is never passed."""
+    return {
+        "stream_runs": f"""select collected_at, count(*) as station_count,
+            {big("sum(coalesce(num_bikes_available, 0))")} as bikes_available,
+            {big("count_if(num_bikes_available = 0)")} as empty_stations,
+            round(avg(num_bikes_available), 2) as avg_bikes_per_station,
+            max(num_bikes_available) as max_bikes_at_station from status group by 1""",
+        "stream_depletions": """select station_id, collected_at from (select station_id, collected_at,
+            num_bikes_available as n, lag(num_bikes_available) over (partition by station_id order by collected_at) as b
+            from status) where b > 0 and n = 0""",
+        "stream_departures": f"""select 'not-seen' as status, bike_id, collected_at as departed_after, null::timestamp as next_seen_at,
+                station_id as from_station_id, null::varchar as to_station_id, null::bigint as window_minutes
+                from hourly_pair where station_id is not null
+            union all select 'seen-again', bike_id, collected_at, t, station_id, s, date_diff('minute', collected_at, t)
+                from hourly_pair where not final and station_id is not null and station_id is distinct from s
+                and date_diff('minute', collected_at, t) <= {STREAM_WINDOW}""",
+        "stream_gaps": f"""select * from (select lag(collected_at) over (order by collected_at) as previous_collected_at,
+            collected_at, date_diff('second', lag(collected_at) over (order by collected_at), collected_at)
+            as gap_seconds from runs) where gap_seconds > {STREAM_GAP_SECONDS}""",
+        "stream_labels": f"""select b.station_id, b.collected_at, f.collected_at as target_collected_at,
+            f.bikes_now as bikes_future, f.bikes_now = 0 as empty_future
+            from (select *, collected_at + interval '{HORIZON} minutes' as t from base) b
+            asof join base f on f.station_id = b.station_id and b.t <= f.collected_at
+            where f.collected_at <= b.collected_at + interval '{MAX_DELAY} minutes'""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(text) for name, text in statements().items()}
+    return {name: sql(text) for name, text in {**statements(), **stream_statements()}.items()}

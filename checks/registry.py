@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.streams import ON_STREAMS
 from checks.tables import ORIGIN, RADIUS_M, TZ, Tables
 from stationflow.functions.rules import round_to
 from stationflow.operators import backtest, features, health, models, spatial, stations
@@ -280,4 +281,4 @@ def queries() -> dict[str, Query]:
     def bind(build: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: build(Tables.of(spark, folder))
 
-    return {name: bind(build) for name, build in ON_TABLES.items()}
+    return {name: bind(build) for name, build in {**ON_TABLES, **ON_STREAMS}.items()}

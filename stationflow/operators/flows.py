@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.functions.clock import MINUTE_US, epoch_us, hour_label, minutes_between, month_label
+from stationflow.functions.clock import MINUTE_US, epoch_us, hour_label, minutes_between, month_label, time_like
 from stationflow.functions.geo import distance_m, whole_metres
 from stationflow.functions.rules import require, require_point, round_to
 from stationflow.operators.history import station_catalog, with_distance
@@ -54,11 +54,11 @@ class Flows:
         stations = with_distance(self.catalog, self.lat, self.lon)
         unplaced = self.catalog.where("latitude is null or longitude is null")
         seen = bike_uid_events(restrict(self.changes, "nuid", unplaced, keep=False))
-        seen = seen.withColumn("us", epoch_us(seen, "timestamp"))
+        seen = seen.select("bike_uid", "nuid", epoch_us(seen, "timestamp").alias("us"))
         reach = (self.max_window_minutes + 1) * MINUTE_US
         spaced = spread(seen, F.col("us"), back_us=reach, ahead_us=0)
         track = around(["bike_uid"], "us", "nuid")
-        before = F.lag(F.struct("us", "timestamp", "nuid")).over(track)
+        before = F.lag(F.struct("us", "nuid")).over(track)
         paired = home_rows(spaced.withColumn("prev", before)).withColumn(
             "window_minutes", minutes_between(F.col("prev.us"), F.col("us"))
         )
@@ -69,8 +69,8 @@ class Flows:
         metres = distance_m(F.col("prev_latitude"), F.col("prev_longitude"), F.col("latitude"), F.col("longitude"))
         return joined.select(
             "bike_uid",
-            F.col("prev.timestamp").alias("prev_timestamp"),
-            "timestamp",
+            time_like(self.changes, "timestamp", F.col("prev.us")).alias("prev_timestamp"),
+            time_like(self.changes, "timestamp", F.col("us")).alias("timestamp"),
             "prev_nuid",
             F.col("prev_station_name").alias("prev_name"),
             "prev_distance_m",

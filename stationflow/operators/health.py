@@ -28,7 +28,7 @@ def recent(rows: DataFrame, since_hours: float | None, as_of: datetime | str | N
 def run_gaps(runs: DataFrame) -> DataFrame:
     """(previous_collected_at, collected_at, gap_seconds) for every run but the first."""
     timed = runs.select("collected_at", epoch_us(runs, "collected_at").alias("us"))
-    paired = with_previous(timed, [], "us", ["collected_at", "us"], "previous")
+    paired = with_previous(timed, [], "us", ["us", "collected_at"], "previous")
     return paired.where("previous is not null").select(
         F.col("previous.collected_at").alias("previous_collected_at"),
         "collected_at",

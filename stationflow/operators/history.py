@@ -52,11 +52,16 @@ def history_monthly(changes: DataFrame) -> DataFrame:
 
 
 def station_catalog(changes: DataFrame) -> DataFrame:
-    """One row per station: latest known name and position, first and last change."""
+    """One row per station: latest known name and position, first and last change.
+
+    A station hardly ever changes its name or place, so the log is first reduced to distinct
+    descriptions with their times: a hash aggregate over plain numbers, combined before the shuffle.
+    """
     us = epoch_us(changes, "timestamp")
     latest = {"name": "station_name", "latitude": "latitude", "longitude": "longitude"}
-    picks = [F.max(F.when(F.col(c).isNotNull(), F.struct(us.alias("us"), F.col(c).alias("v")))).alias(c) for c in latest]
-    grouped = changes.groupBy("nuid").agg(*picks, F.min(us).alias("first_us"), F.max(us).alias("last_us"))
+    described = changes.groupBy("nuid", *latest).agg(F.min(us).alias("from_us"), F.max(us).alias("us"))
+    picks = [F.max(F.when(F.col(c).isNotNull(), F.struct("us", F.col(c).alias("v")))).alias(c) for c in latest]
+    grouped = described.groupBy("nuid").agg(*picks, F.min("from_us").alias("first_us"), F.max("us").alias("last_us"))
     return grouped.select("nuid", *[F.col(f"{c}.v").alias(n) for c, n in latest.items()], "first_us", "last_us")
 
 

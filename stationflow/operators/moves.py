@@ -146,7 +146,10 @@ class Movements:
     def _not_seen(self) -> DataFrame:
         """Last sightings at a station in the radius that are old enough to count as departed."""
         now_us = self.sightings.agg(F.max("us").alias("us")).scalar()
-        last = self.sightings.groupBy("bike_id").agg(F.max(F.struct("us", "station_id", "collected_at")).alias("s"))
+        per_place = self.sightings.groupBy("bike_id", "station_id").agg(
+            F.max("us").alias("us"), F.max("collected_at").alias("collected_at")
+        )
+        last = per_place.groupBy("bike_id").agg(F.max(F.struct("us", "station_id", "collected_at")).alias("s"))
         age = minutes_between(F.col("s.us"), now_us)
         old = last.where("s.station_id is not null").where(age >= self.open_after_minutes)
         null = F.lit(None)

@@ -11,15 +11,16 @@ DIMENSION = ["name", "short_name", "region_id", "lat", "lon", "capacity"]
 
 
 def latest_station_info(info: DataFrame) -> DataFrame:
-    """Newest row per station. The information table repeats on every snapshot, so it is reduced on the
-    map side before the shuffle.
+    """Newest row per station. The information table repeats on every snapshot with the same values, so it
+    is first reduced to distinct descriptions, combined before the shuffle.
 
     A table without ``observed_at`` is taken as already reduced: a job that needs the dimension often
     keeps it as a settled table, whose known size lets the planner broadcast it.
     """
     if "observed_at" not in info.columns:
         return info.select("station_id", *DIMENSION)
-    newest = info.groupBy("station_id").agg(F.max(F.struct("observed_at", *DIMENSION)).alias("row"))
+    described = info.groupBy("station_id", *DIMENSION).agg(F.max("observed_at").alias("observed_at"))
+    newest = described.groupBy("station_id").agg(F.max(F.struct("observed_at", *DIMENSION)).alias("row"))
     return newest.select("station_id", *[F.col(f"row.{name}").alias(name) for name in DIMENSION])
 
 

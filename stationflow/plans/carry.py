@@ -20,6 +20,8 @@ from stationflow.functions.rules import require
 from stationflow.plans.twolevel import with_running_sums
 
 TICKS_PER_BIN = 4_096
+TIE_RANGE = 1 << 20  # room for the stock in the order of changes at one time; leaves 100 days for a tick
+MAX_MINUTES = 100 * 24 * 60
 SHORT_GRID = 100_000  # ticks one task may add up; longer grids go in two levels
 
 
@@ -37,7 +39,7 @@ class Grid:
     catalog: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        require(self.minutes > 0, "sample_minutes must be positive")
+        require(0 < self.minutes <= MAX_MINUTES, "sample_minutes must be positive and at most 100 days")
 
     @property
     def step_us(self) -> int:
@@ -84,15 +86,20 @@ def states(grid: Grid, changes: DataFrame | None = None, stations: DataFrame | N
     us = epoch_us(changes, "timestamp")
     seen = changes.where(F.col("nuid").isNotNull()).select("nuid", us.alias("us"), "bikes")
     seen = seen.withColumn("lo", grid.tick_of(F.col("us"))).where(F.col("lo") <= grid.last_tick)
+    # order within the tick: time, then stock, as one number so that the aggregate hashes
+    since = F.col("us") - grid.tick_us(F.col("lo") - 1)
+    stock = F.least(F.greatest(F.coalesce("bikes", F.lit(-1)), F.lit(-1)), F.lit(TIE_RANGE - 2)) + 1
+    seen = seen.select("nuid", "lo", "bikes", (since * TIE_RANGE + stock).alias("rank"))
     if stations is not None:
-        before = F.lit(-(2**63) + 1).cast("long")
         blank = F.lit(None).cast(dict(changes.dtypes)["bikes"])
-        head = stations.select("nuid", before.alias("us"), blank.alias("bikes"), F.lit(0).cast("long").alias("lo"))
-        seen = seen.unionByName(head)
-    visible = seen.groupBy("nuid", "lo").agg(F.max(F.struct("us", "bikes")).alias("s"))
+        zero = F.lit(0).cast("long")
+        seen = seen.unionByName(
+            stations.select("nuid", zero.alias("lo"), blank.alias("bikes"), (zero - 1).alias("rank"))
+        )
+    visible = seen.groupBy("nuid", "lo").agg(F.max_by("bikes", "rank").alias("bikes"))
     following = F.lead("lo").over(Window.partitionBy("nuid").orderBy("lo"))
     return visible.select(
-        "nuid", "lo", F.coalesce(following - 1, F.lit(grid.last_tick).cast("long")).alias("hi"), F.col("s.bikes").alias("bikes")
+        "nuid", "lo", F.coalesce(following - 1, F.lit(grid.last_tick).cast("long")).alias("hi"), "bikes"
     )
 
 

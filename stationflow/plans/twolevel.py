@@ -34,10 +34,15 @@ def with_previous(
     """
     order = [us, *(ties or [])]
     binned = df.withColumn(BIN, floor_div(F.col(us), bin_us))
-    last = binned.groupBy(*keys, BIN).agg(F.max(F.struct(*order, F.struct(*carry).alias("_row"))).alias("_last"))
-    edge = last.select(
-        *keys, BIN, F.lag("_last._row").over(Window.partitionBy(*keys).orderBy(BIN)).alias("_edge")
-    )
+    others = [c for c in carry if c != us]
+    if len(others) <= 1 and not ties:
+        # one value at the latest time: a hash aggregate, where a struct would need a sort
+        picked = [F.max(us) if c == us else F.max_by(c, us) for c in carry]
+        last = F.struct(*[p.alias(c) for p, c in zip(picked, carry)])
+    else:
+        last = F.max(F.struct(*order, F.struct(*carry).alias("_row")))["_row"]
+    edges = binned.groupBy(*keys, BIN).agg(last.alias("_last"))
+    edge = edges.select(*keys, BIN, F.lag("_last").over(Window.partitionBy(*keys).orderBy(BIN)).alias("_edge"))
     inside = binned.withColumn(out, F.lag(F.struct(*carry)).over(Window.partitionBy(*keys, BIN).orderBy(*order)))
     return _join(inside, edge, keys).withColumn(out, F.coalesce(out, "_edge")).drop(BIN, "_edge")
 

@@ -278,7 +278,7 @@ def test_city_observes_from_the_first_change(spark):
     city = CityHistory(change_log(spark), 20, "UTC")
     assert city.samples().count() == 6 + 4 + 1
     rates = {r.nuid: (r.samples, r.avg_bikes) for r in city.station_rates().collect()}
-    assert rates == {"a": (6, 1.75), "b": (4, 1.0), "z": (1, 3.0)}
+    assert rates == {"a": (6, 1.4), "b": (4, 1.0), "z": (1, 3.0)}
 
 
 def test_nothing_in_radius(spark):

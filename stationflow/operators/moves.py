@@ -255,12 +255,14 @@ class Movements:
         return pairs.orderBy(F.col("departures").desc(), "from_name", "to_name").limit(limit)
 
     def departure_summary(self) -> DataFrame:
-        return self._departures.agg(
-            F.count(F.lit(1)).alias("departures"),
+        """Counted per vehicle and station first; both distinct counts run over those pairs."""
+        pairs = self._departures.groupBy("bike_id", "from_station_id").agg(*self._counts())
+        return pairs.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("departures"),
             F.countDistinct("bike_id").alias("bikes"),
             F.countDistinct("from_station_id").alias("origin_stations"),
-            F.count_if(F.col("status") == "seen-again").alias("known_destinations"),
-            F.count_if(F.col("status") == "not-seen").alias("open_departures"),
-            F.min("departed_after").alias("first_departure"),
-            F.max("departed_after").alias("latest_departure"),
+            F.coalesce(F.sum("known"), F.lit(0)).alias("known_destinations"),
+            F.coalesce(F.sum("open"), F.lit(0)).alias("open_departures"),
+            F.min("first").alias("first_departure"),
+            F.max("latest").alias("latest_departure"),
         )

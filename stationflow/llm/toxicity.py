@@ -27,7 +27,7 @@ HELD_OUT = 1
 TOXIC = 0.7
 #: Labelled rows per class, and windows of each, that training may use at most.
 PER_CLASS = 2_000
-TRAIN_WINDOWS = 4
+TRAIN_WINDOWS = 8
 #: One labelled document in so many is kept for the logistic curve, with up to so many windows.
 CURVE_EVERY = 4
 CURVE_WINDOWS = 48
@@ -39,9 +39,11 @@ COMMON = 5
 GRAM_BITS = 13
 WORD_DIMS, GRAM_DIMS, UNITS, ATTENTION = 8, 8, 8, 8
 #: Share of words whose own, and of words whose trigram embedding is blanked in a training step.
-BLANK_WORDS, BLANK_GRAMS = 0.1, 0.6
-#: Pull of the trigram embeddings to zero.
-DECAY = 1e-5
+BLANK_WORDS, BLANK_GRAMS = 0.1, 0.3
+#: How far the log odds set the first number of an embedding.
+LEAN = 0.3
+#: Pull of the embeddings to zero, and their first spread.
+DECAY, SPREAD = 1e-5, 0.1
 WORD = re.compile(r"\w+")
 #: Words whose gate inputs one Python worker remembers; beyond, it starts anew.
 REMEMBERED_WORDS = 300_000
@@ -94,7 +96,7 @@ class Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         inputs, w = WORD_DIMS + GRAM_DIMS, {}
-        w["word"], w["gram"] = draw(len(common) + 1, WORD_DIMS, scale=0.1), draw(1 << GRAM_BITS, GRAM_DIMS, scale=0.1)
+        w["word"], w["gram"] = draw(len(common) + 1, WORD_DIMS, scale=SPREAD), draw(1 << GRAM_BITS, GRAM_DIMS, scale=SPREAD)
         w["word"][0] = 0.0
         for d in "fb":
             w[f"W{d}"] = draw(inputs, 3 * UNITS, scale=inputs**-0.5)
@@ -160,8 +162,8 @@ class Network:
 
     # -- training -----------------------------------------------------------------------------------
 
-    def gradients(self, inputs: np.ndarray, mask: np.ndarray, y: np.ndarray):
-        """Loss, gradients of the dense weights and of the step inputs, by back-propagation through time."""
+    def gradients(self, inputs: np.ndarray, mask: np.ndarray, y: np.ndarray, toxic_weight: float = 1.0):
+        """Loss with toxic windows weighted, gradients of the dense weights and of the step inputs, by back-propagation through time."""
         n, w, g = len(y), self.w, {}
         kept: dict[str, list] = {"f": [], "b": []}
         flat = inputs.reshape(-1, inputs.shape[2])
@@ -169,8 +171,9 @@ class Network:
         states = np.concatenate([self.recur(lambda t, d=d: gates[d][:, t], mask, d, kept[d]) for d in "fb"], axis=2)
         hidden, weight, context, logit = self.pool(states, mask)
         p = _sigmoid(logit)
-        loss = float(-(y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7)).mean())
-        d_logit = ((p - y) / n).astype(np.float32)
+        share = np.where(y > 0, toxic_weight, 1.0) / n
+        loss = float(-(share * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum())
+        d_logit = (share * (p - y)).astype(np.float32)
         g["o"], g["c"] = context.T @ d_logit, np.array([d_logit.sum()], np.float32)
         d_context = d_logit[:, None] * w["o"]
         d_states = weight[:, :, None] * d_context[:, None, :]
@@ -221,7 +224,7 @@ def _padded(windows_: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return index, mask
 
 
-def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epochs: int = 6, batch: int = 96, seed: int = 7) -> Network:
+def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epochs: int = 6, batch: int = 96, steps: int = 400, seed: int = 7) -> Network:
     """Train on documents given as windows of words; those marked ``curve`` only set the logistic curve.
 
     All windows first take their document's label. Since a toxic document may have harmless windows, the second half of the
@@ -238,11 +241,12 @@ def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epoch
     place = {w: i for i, w in enumerate(vocabulary)}
     index, mask = _padded([[place[x] for x in w] for d in docs for w in d])
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    y_doc = np.array(labels)
-    y, adam = y_doc[owner].astype(np.float32), Adam()
-    own = np.array([net.rows.get(w, 0) for w in vocabulary])
     flat, starts = trigrams(vocabulary)
     size = np.diff(starts, append=flat.size)
+    own = np.array([net.rows.get(w, 0) for w in vocabulary])
+    _lean(net, docs, labels, curve, place, own, flat, starts)
+    y_doc = np.array(labels)
+    y, adam = y_doc[owner].astype(np.float32), Adam()
     chosen = np.flatnonzero(~curve[owner])
 
     def all_logits() -> np.ndarray:
@@ -250,6 +254,7 @@ def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epoch
         parts = range(0, len(owner), BLOCK)
         return np.concatenate([net.logits(table, index[i : i + BLOCK], mask[i : i + BLOCK]) for i in parts])
 
+    epochs = max(epochs, -(-steps * batch // max(len(chosen), 1)))  # few windows are gone through more often
     for epoch in range(epochs):
         if epoch == epochs // 2:
             logit = all_logits()
@@ -257,6 +262,7 @@ def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epoch
             rank = np.empty(len(owner), np.int64)
             rank[order] = np.arange(len(owner)) - np.searchsorted(owner[order], owner[order])
             chosen = np.flatnonzero(~curve[owner] & ((y == 0) | (2 * rank < np.bincount(owner)[owner])))
+        weight = (y[chosen] == 0).sum() / max((y[chosen] == 1).sum(), 1)  # both classes weigh alike
         losses = []
         for at in np.array_split(rng.permutation(chosen), -(-len(chosen) // batch)):
             words, back = np.unique(index[at], return_inverse=True)
@@ -268,14 +274,15 @@ def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epoch
             keep_gram = rng.random((len(words), 1)) >= BLANK_GRAMS
             inputs = np.concatenate([net.w["word"][own[words]] * keep_word, mean * keep_gram / (1 - BLANK_GRAMS)], axis=1)
             inputs = inputs.astype(np.float32)
-            loss, grads, d_inputs = net.gradients(inputs[back.reshape(index[at].shape)], mask[at], y[at])
+            loss, grads, d_inputs = net.gradients(inputs[back.reshape(index[at].shape)], mask[at], y[at], weight)
             d_words = np.zeros_like(inputs)
             np.add.at(d_words, back.ravel(), d_inputs * mask[at].reshape(-1, 1))
             grads["word"], grads["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
             np.add.at(grads["word"], own[words], d_words[:, :WORD_DIMS] * keep_word)
             d_mean = d_words[:, WORD_DIMS:] * keep_gram / (1 - BLANK_GRAMS) / n[:, None]
             np.add.at(grads["gram"], grams, np.repeat(d_mean, n, axis=0))
-            grads["gram"] += DECAY * net.w["gram"]
+            for name in ("word", "gram"):
+                grads[name] += DECAY * net.w[name]
             norm = np.sqrt(sum(float((g**2).sum()) for g in grads.values()))
             adam.step(net.w, {k: g * min(1.0, 1.0 / (norm + 1e-9)) for k, g in grads.items()})
             losses.append(loss)
@@ -287,6 +294,23 @@ def fit(docs: list[list[list[str]]], labels: list[int], curve: list[bool], epoch
     return net
 
 
+def _lean(net: Network, docs, labels, curve, place, own, flat, starts) -> None:
+    """Start the first number of each embedding at the smoothed log odds of toxic among the documents that hold it, so that
+    training begins from what single words and trigrams tell and a small labelled table does not have to find it anew."""
+    held = {name: np.zeros((2, len(net.w[name]))) for name in ("word", "gram")}
+    total, ends = np.zeros(2), np.append(starts[1:], flat.size)
+    for parts, label, aside in zip(docs, labels, curve):
+        if not aside:
+            seen = np.array(sorted({place[w] for part in parts for w in part}))
+            held["word"][label, np.unique(own[seen])] += 1
+            held["gram"][label, np.unique(np.concatenate([flat[starts[i] : ends[i]] for i in seen]))] += 1
+            total[label] += 1
+    for name, counts in held.items():
+        odds = np.log((counts + 1) / (total[:, None] + 2))
+        net.w[name][:, 0] += (LEAN * (odds[1] - odds[0]) * (counts.sum(axis=0) > 0)).astype(np.float32)
+    net.w["word"][0] = 0.0
+
+
 def _calibrate(net: Network, logit: np.ndarray, y: np.ndarray) -> None:
     """Logistic curve from a document's worst logit to its chance, a little regularised, by Newton steps."""
     x = np.stack([logit, np.ones_like(logit)], axis=1)

@@ -35,8 +35,8 @@ GAP_SECONDS = 181
 HOUR = "08:00"
 # Events are sparse, so the lookups span hours: horizon 3-12 h, lags 5-10 h and 15-20 h, rolling 30 h.
 SPANS = features.Spans(horizon=180, max_target_delay=720, lag_tolerance=300, short_lag=300, long_lag=900, rolling=1800)
-AREA_MINUTES = 60
-CITY_MINUTES = 180
+AREA_MINUTES = 15
+CITY_MINUTES = 60
 BACKTEST_M = 1000.0
 BOUNDARY = (
     '{"type": "MultiPolygon", "coordinates": ['
@@ -132,14 +132,13 @@ def _logistic(t: Tables) -> DataFrame:
 
 def _boosted(t: Tables) -> DataFrame:
     split = _split(t)
-    model = models.train_boosted_trees(split.train, rounds=20)
+    model = models.train_boosted_trees(split.train)
     return models.binary_metrics(models.model_predictions("boosted_trees", model, split.test))
 
 
 def _latest_features(t: Tables) -> DataFrame:
     latest = stations.latest_rows(t.status, t.runs).select("station_id")
-    ids = [r[0] for r in latest.collect()]  # the stations of one snapshot
-    return features.latest_features(t.status, t.info, t.runs, ids, SPANS)
+    return features.latest_features(t.status, t.info, t.runs, latest, SPANS)
 
 
 def _predict(t: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.functions.clock import HOUR_US, SECOND_US, epoch_us, floor_div, seconds_between
+from stationflow.functions.clock import HOUR_US, SECOND_US, epoch_us, floor_div, seconds_between, time_like
 from stationflow.functions.rules import require, round_to
 from stationflow.plans.twolevel import with_previous
 
@@ -22,7 +22,8 @@ def recent(rows: DataFrame, since_hours: float | None, as_of: datetime | str | N
     if since_hours is None:
         return rows
     require(as_of is not None, "as_of is needed with since_hours")
-    return rows.where(epoch_us(rows, "collected_at") >= _as_of_us(as_of) - int(since_hours * HOUR_US))
+    # the bare column against a constant of its own type reaches the scan
+    return rows.where(F.col("collected_at") >= time_like(rows, "collected_at", _as_of_us(as_of) - int(since_hours * HOUR_US)))
 
 
 def run_gaps(runs: DataFrame) -> DataFrame:

@@ -20,9 +20,6 @@ from stationflow.functions.rules import require
 from stationflow.plans.twolevel import with_running_sums
 
 TICKS_PER_BIN = 4_096
-TIE_RANGE = 1 << 20  # room for the stock in the order of changes at one time; leaves 100 days for a tick
-MAX_MINUTES = 100 * 24 * 60
-SHORT_GRID = 100_000  # ticks one task may add up; longer grids go in two levels
 
 
 @dataclass
@@ -39,7 +36,7 @@ class Grid:
     catalog: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        require(0 < self.minutes <= MAX_MINUTES, "sample_minutes must be positive and at most 100 days")
+        require(self.minutes > 0, "sample_minutes must be positive")
 
     @property
     def step_us(self) -> int:
@@ -86,17 +83,15 @@ def states(grid: Grid, changes: DataFrame | None = None, stations: DataFrame | N
     us = epoch_us(changes, "timestamp")
     seen = changes.where(F.col("nuid").isNotNull()).select("nuid", us.alias("us"), "bikes")
     seen = seen.withColumn("lo", grid.tick_of(F.col("us"))).where(F.col("lo") <= grid.last_tick)
-    # order within the tick: time, then stock, as one number so that the aggregate hashes
-    since = F.col("us") - grid.tick_us(F.col("lo") - 1)
-    stock = F.least(F.greatest(F.coalesce("bikes", F.lit(-1)), F.lit(-1)), F.lit(TIE_RANGE - 2)) + 1
-    seen = seen.select("nuid", "lo", "bikes", (since * TIE_RANGE + stock).alias("rank"))
+    # order within the tick: time, then known before unknown stock, then the larger stock
+    seen = seen.select("nuid", "lo", "bikes", F.struct("us", F.col("bikes").isNotNull().alias("known"), "bikes").alias("rank"))
     if stations is not None:
         blank = F.lit(None).cast(dict(changes.dtypes)["bikes"])
-        zero = F.lit(0).cast("long")
+        before = F.struct(F.lit(-(1 << 63)).alias("us"), F.lit(False).alias("known"), blank.alias("bikes"))
         seen = seen.unionByName(
-            stations.select("nuid", zero.alias("lo"), blank.alias("bikes"), (zero - 1).alias("rank"))
+            stations.select("nuid", F.lit(0).cast("long").alias("lo"), blank.alias("bikes"), before.alias("rank"))
         )
-    visible = seen.groupBy("nuid", "lo").agg(F.max_by("bikes", "rank").alias("bikes"))
+    visible = seen.groupBy("nuid", "lo").agg(F.max("rank")["bikes"].alias("bikes"))
     following = F.lead("lo").over(Window.partitionBy("nuid").orderBy("lo"))
     return visible.select(
         "nuid", "lo", F.coalesce(following - 1, F.lit(grid.last_tick).cast("long")).alias("hi"), "bikes"
@@ -129,11 +124,7 @@ def totals_per_tick(grid: Grid, state: DataFrame) -> DataFrame:
     dense = grid.ticks().join(per_tick, "tick", "left")
     filled = dense.select("tick", *[F.coalesce(f"d_{n}", F.lit(0)).alias(f"d_{n}") for n in parts])
     deltas = {n: f"d_{n}" for n in parts}
-    if grid.last_tick < SHORT_GRID:
-        so_far = Window.partitionBy(F.lit(0)).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-        sums = filled.select("tick", *[F.sum(d).over(so_far).alias(n) for n, d in deltas.items()])
-    else:
-        sums = with_running_sums(filled, [], floor_div(F.col("tick"), TICKS_PER_BIN), [F.col("tick")], deltas)
+    sums = with_running_sums(filled, [], floor_div(F.col("tick"), TICKS_PER_BIN), [F.col("tick")], deltas)
 
     def if_known(name: str) -> Column:
         return F.when(F.col("known") > 0, F.col(name)).alias(name)

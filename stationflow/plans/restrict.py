@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LISTED_IDS = 2_000
 
-
-def restrict(fact: DataFrame, key: str, ids: DataFrame, keep: bool = True, most: int = MAX_LISTED_IDS) -> DataFrame:
+def restrict(fact: DataFrame, key: str, ids: DataFrame, keep: bool = True) -> DataFrame:
     """Rows of ``fact`` whose key is (or with ``keep=False`` is not) in ``ids``.
 
-    At most ``most + 1`` ids are fetched. A short list becomes a filter that reaches the scan, so the
-    large table is not shuffled; a longer one is left to a semi or anti join.
+    One plan at every size, and nothing is fetched: a semi or anti join. Where ``ids`` is a settled table its size is
+    exact, so Spark itself decides whether it may be broadcast.
     """
     found = ids.where(F.col(key).isNotNull()).select(key).distinct()
-    listed = [row[0] for row in found.limit(most + 1).collect()]
-    if len(listed) > most:
-        return fact.join(found, key, "left_semi" if keep else "left_anti")
-    if keep:
-        return fact.where(F.col(key).isin(listed)) if listed else fact.where(F.lit(False))
-    return fact.where(F.col(key).isNull() | ~F.col(key).isin(listed)) if listed else fact
+    return fact.join(found, key, "left_semi" if keep else "left_anti")

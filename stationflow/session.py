@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the library is tuned for; a cluster's own values win because they are only defaults.
+# Settings the library is tuned for, set only where the cluster's own configuration has none.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,7 +22,9 @@ def build_session(app_name: str = "stationflow", master: str | None = None, **co
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    given = SparkConf()
+    wanted = {key: value for key, value in DEFAULTS.items() if not given.contains(key)}
+    for key, value in {**wanted, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

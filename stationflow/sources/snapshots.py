@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stationflow.functions.clock import epoch_us, utc_wall
 from stationflow.sources.schemas import FEEDS, RAW
 
+CORRUPT = "_corrupt_record"
+
 
 def snapshot_id(df: DataFrame, name: str = "collected_at"):
     return F.date_format(utc_wall(epoch_us(df, name)), "yyyyMMdd'T'HHmmss'Z'")
@@ -24,14 +27,27 @@ def land_snapshots(raw: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("date").json(path)
 
 
-def read_raw(source: SparkSession | DataStreamReader, path: str) -> DataFrame:
-    """Raw documents with their file path; unreadable ones are left out.
+def _documents(source: SparkSession | DataStreamReader, path: str, multi_line: bool) -> DataFrame:
+    reader = source.read if isinstance(source, SparkSession) else source
+    schema = StructType([*RAW.fields, StructField(CORRUPT, StringType())])
+    reader = reader.schema(schema).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", CORRUPT)
+    docs = reader.option("multiLine", str(multi_line).lower()).json(path)
+    return docs.select("*", F.col("_metadata.file_path").alias("raw_path"))
+
+
+def read_raw(source: SparkSession | DataStreamReader, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw documents with their file path; ``read_rejected`` has those that are none.
 
-    Works for ``spark`` and for ``spark.readStream`` (with its options set by the caller).
+    Works for ``spark`` and for ``spark.readStream`` (with its options set by the caller). Our own landing writes one
+    document per line; ``multi_line`` reads files of one indented document each.
     """
-    reader = source.read if isinstance(source, SparkSession) else source
-    docs = reader.schema(RAW).option("recursiveFileLookup", "true").json(path)
-    return docs.select("*", F.col("_metadata.file_path").alias("raw_path")).where("collected_at is not null")
+    return _documents(source, path, multi_line).where("collected_at is not null").drop(CORRUPT)
+
+
+def read_rejected(source: SparkSession | DataStreamReader, path: str, multi_line: bool = False) -> DataFrame:
+    """(raw_path, document) of what can't be read as a snapshot: no JSON, or without a readable ``collected_at``."""
+    docs = _documents(source, path, multi_line).where("collected_at is null")
+    return docs.select("raw_path", F.coalesce(CORRUPT, F.to_json("feeds")).alias("document"))
 
 
 def keep_feeds(raw: DataFrame, names: list[str]) -> DataFrame:
@@ -86,12 +102,17 @@ def run_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def append_new(rows: DataFrame, path: str, stamp: str = "collected_at") -> None:
-    """Append rows of snapshots the table does not hold yet, in date partitions.
+def append_new(rows: DataFrame, path: str, stamp: str = "collected_at", entity: str | None = None) -> None:
+    """Append rows whose key (``stamp`` and ``entity``) the table does not hold yet, in date partitions.
 
-    A repeated call with the same snapshots adds nothing. Only the date folders that the new rows fall
-    into are looked at.
+    A repeated call with the same snapshots adds nothing, rows of equal key within the call count once, and a late part of a
+    snapshot that is held still adds its own rows. Of equal keys with other contents the one with the smallest hash is
+    taken, whatever their order. Only the date folders that the new rows fall into are looked at.
     """
+    keys = [stamp] if entity is None else [stamp, entity]
+    content = F.xxhash64(*[F.to_json(F.struct(c)) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(content))
+    rows = rows.withColumn("_place", place).where("_place = 1").drop("_place")
     spark = rows.sparkSession
     dated = rows.withColumn("date", snapshot_date(rows, stamp))
     days = dated.agg(F.min("date"), F.max("date")).first()
@@ -101,14 +122,17 @@ def append_new(rows: DataFrame, path: str, stamp: str = "collected_at") -> None:
     exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     if exists:
         table = spark.read.schema(dated.schema).parquet(path)
-        held = table.where(F.col("date").between(*days)).select("date", stamp).distinct()
-        dated = dated.join(held, ["date", stamp], "left_anti")
+        held = table.where(F.col("date").between(*days)).select("date", *keys).distinct()
+        dated = dated.join(held, ["date", *keys], "left_anti")
     dated.write.mode("append").partitionBy("date").parquet(path)
 
 
 def append_normalized(raw: DataFrame, root: str) -> None:
     """Append all four tables below ``root``; runs come last, so a run row means its rows are there."""
-    append_new(normalize_status(raw), f"{root}/station_status")
-    append_new(normalize_info(raw), f"{root}/station_information", "observed_at")
-    append_new(normalize_free_bikes(raw), f"{root}/free_bikes")
-    append_new(run_rows(raw), f"{root}/runs")
+    append_new(normalize_status(raw), f"{root}/station_status", entity="station_id")
+    append_new(normalize_info(raw), f"{root}/station_information", "observed_at", "station_id")
+    append_new(normalize_free_bikes(raw), f"{root}/free_bikes", entity="bike_id")
+    # documents of one time, copies or with other feeds, are one run
+    counts = ["station_count", "bikes_available", "free_bike_count"]
+    per_time = run_rows(raw).groupBy("collected_at").agg(F.min("raw_path").alias("raw_path"), *[F.max(c).alias(c) for c in counts])
+    append_new(per_time, f"{root}/runs")

@@ -391,14 +391,18 @@ def test_lookup_bounds_are_inclusive_and_rolling_leaves_out_now(spark):
     assert got[at(0)].bikes_future == 0 and got[at(0)].empty_future is True
 
 
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "station_id string")
+
+
 def test_latest_features_equal_dataset_columns(spark):
     rows = status(spark, [(m, s, (m + len(s)) % 3) for m in range(0, 90, 5) for s in ("a", "bb")])
     table = info(spark, [("a", 0), ("bb", None)])
-    last = features.latest_features(rows.where(F.col("collected_at") <= at(45)), table, runs(spark, [0, 45]), ["a", "bb"])
+    last = features.latest_features(rows.where(F.col("collected_at") <= at(45)), table, runs(spark, [0, 45]), ids(spark, "a", "bb"))
     whole = features.availability_dataset(rows, table).where(F.col("collected_at") == at(45))
     assert last.count() == 2
     assert last.exceptAll(whole.select(*features.MODEL_FEATURES)).isEmpty()
-    assert features.latest_features(rows, table, runs(spark, [45]), []).isEmpty()
+    assert features.latest_features(rows, table, runs(spark, [45]), ids(spark)).isEmpty()
 
 
 def test_split_points(spark):
@@ -450,7 +454,7 @@ def test_trained_models_beat_chance_and_reload(spark, tmp_path):
     found = {r.model: r for r in metrics.collect()}
     assert set(found) == {"logistic_regression", "boosted_trees"}
     assert all(r.roc_auc > 0.7 for r in found.values())
-    latest = features.latest_features(rows, table, runs(spark, [795]), ["a", "b", "c", "d"])
+    latest = features.latest_features(rows, table, runs(spark, [795]), ids(spark, "a", "b", "c", "d"))
     again = models.load_model(str(tmp_path / "models" / "logistic_regression"))
     want = {r.station_id: r for r in models.predict_latest_risk(fitted["logistic_regression"], latest).collect()}
     got = {r.station_id: r for r in models.predict_latest_risk(again, latest).collect()}

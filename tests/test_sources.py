@@ -107,3 +107,34 @@ def test_polygon_vertices(spark):
     shape = '{"type": "MultiPolygon", "coordinates": [[[[0,0],[1,0],[1,1],[0,0]]], [[[5,5],[6,5],[6,6],[5,5]], [[5.2,5.1],[5.3,5.1],[5.3,5.2],[5.2,5.1]]]]}'
     rows = polygons.polygon_vertices(spark, shape).collect()
     assert len(rows) == 12 and {(r.poly_id, r.ring_id, r.is_hole) for r in rows} == {(0, 0, False), (1, 0, False), (1, 1, True)}
+
+
+def document(time, stations=(), bikes=None):
+    feeds = {"station_status": {"last_updated": 1, "data": {"stations": [{"station_id": s, "num_bikes_available": 2} for s in stations]}}}
+    if bikes:
+        feeds["free_bike_status"] = {"last_updated": 1, "data": {"bikes": [{"bike_id": b} for b in bikes]}}
+    return {"collected_at": time, "feeds": feeds}
+
+
+def test_repeated_and_late_documents_add_each_row_once(spark, tmp_path):
+    first, late = document("2024-01-01T00:00:00", ["a", "b"]), document("2024-01-01T00:00:00", ["b", "c"], ["v"])
+    landing, root = tmp_path / "in", str(tmp_path / "tables")
+    landing.mkdir()
+    for name, content in {"1": first, "2": first, "3": {"feeds": {}}}.items():
+        (landing / f"{name}.json").write_text(json.dumps(content))
+    (landing / "4.json").write_text("{ no json")
+    snapshots.append_normalized(snapshots.read_raw(spark, str(landing)), root)
+    assert spark.read.parquet(f"{root}/station_status").count() == 2 and spark.read.parquet(f"{root}/runs").count() == 1
+    assert {r["raw_path"][-6:] for r in snapshots.read_rejected(spark, str(landing)).collect()} == {"3.json", "4.json"}
+    (landing / "5.json").write_text(json.dumps(late))
+    for _ in range(2):
+        snapshots.append_normalized(snapshots.read_raw(spark, str(landing)), root)
+    assert sorted(r["station_id"] for r in spark.read.parquet(f"{root}/station_status").collect()) == ["a", "b", "c"]
+    assert spark.read.parquet(f"{root}/free_bikes").count() == 1 and spark.read.parquet(f"{root}/runs").count() == 1
+
+
+def test_indented_documents_are_read_on_request(spark, tmp_path):
+    (tmp_path / "1.json").write_text(json.dumps(document("2024-01-01T00:00:00", ["a"]), indent=2))
+    assert snapshots.read_raw(spark, str(tmp_path)).isEmpty() and not snapshots.read_rejected(spark, str(tmp_path)).isEmpty()
+    assert snapshots.read_raw(spark, str(tmp_path), multi_line=True).count() == 1
+    assert snapshots.read_rejected(spark, str(tmp_path), multi_line=True).isEmpty()

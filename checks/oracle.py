@@ -128,6 +128,11 @@ PARTS: dict[str, str] = {
         p.nuid, p.station_name, p.distance_m, c.bikes
         from (select * from area_grid, near) p asof left join changes c
         on p.nuid = c.nuid and p.sample_ts >= c.timestamp""",
+    "hourly_grid": """select unnest(generate_series((select min(timestamp) from changes),
+        (select max(timestamp) from changes), interval '60 minutes')) as sample_ts""",
+    "hourly_sample": f"""select p.sample_ts, {hour("p.sample_ts")} as local_hour, p.nuid, p.station_name, c.bikes
+        from (select * from hourly_grid, near) p asof left join changes c
+        on p.nuid = c.nuid and p.sample_ts >= c.timestamp""",
     "area_state": """select sample_ts, local_month, local_hour, sum(coalesce(bikes, 0)) as total,
         count_if(coalesce(bikes, 0) > 0) as stocked from area_sample group by all""",
     "city_grid": f"""select unnest(generate_series((select min(timestamp) from changes),
@@ -353,7 +358,7 @@ def _scored(max_walk: int, history: bool) -> str:
             round(avg(cast(coalesce(bikes, 0) = 0 as integer)), 3) as hist_empty_rate,
             round(avg(cast(coalesce(bikes, 0) <= 1 as integer)), 3) as hist_low_rate,
             round(avg(cast(coalesce(bikes, 0) = 0 as integer)) filter (where local_hour = '%s'), 3) as h
-            from area_sample group by 1) using (station_id)"""
+            from hourly_sample group by 1) using (station_id)"""
         % HOUR
         if history
         else """cross join (select null::double as hist_avg_bikes, null::double as hist_empty_rate,
@@ -530,7 +535,7 @@ def statements() -> dict[str, str]:
             round({yes("coalesce(bikes, 0) = 0")}, 3) as hist_empty_rate,
             round({yes("coalesce(bikes, 0) <= 1")}, 3) as hist_low_rate,
             round({yes("coalesce(bikes, 0) = 0")} filter (where local_hour = '{HOUR}'), 3) as hour_empty_rate
-            from area_sample group by 1, 2""",
+            from hourly_sample group by 1, 2""",
         "strategy_ranking": f"{_scored(1600, True)} order by score, distance_m, name, station_id limit 12",
         "strategy_ranking_live_only": f"{_scored(3000, False)} order by score, distance_m, name, station_id limit 12",
         "strategy_best": f"""select b.station_id as best_station_id, b.name as best_name, b.bikes as best_bikes,

@@ -29,12 +29,13 @@ def history_report(
     sample_minutes: int = 60,
     max_window_minutes: int = 720,
     tz: str = "Europe/Prague",
+    area_minutes: int = 15,
 ) -> dict[str, DataFrame]:
-    """City, area and flow tables of the change log. The log is read once for the station catalog, once
+    """City, area and flow tables of the change log; the city is sampled each ``sample_minutes``, the area each ``area_minutes``. The log is read once for the station catalog, once
     for the states of the city, once for those of the area, and once for the flows."""
     catalog = settle(station_catalog(changes), "catalog")
     city = CityHistory(changes, sample_minutes, tz, catalog).hold()
-    area = AreaHistory(changes, lat, lon, radius_m, sample_minutes, tz, catalog).hold()
+    area = AreaHistory(changes, lat, lon, radius_m, area_minutes, tz, catalog).hold()
     flows = Flows(changes, lat, lon, radius_m, max_window_minutes, tz, catalog).hold()
     city_rates = city.station_rates()
     morning = area.morning_by_month()

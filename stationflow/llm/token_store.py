@@ -119,8 +119,9 @@ def _library_encoder(path: str):
 class WordEncoder:
     """Whole-text ids of a tokenizer whose pre-tokenizer never joins what white space divides.
 
-    Such a text's ids are those of its parts between spaces, so parts are encoded once and remembered. A part of
-    plain ASCII letters needs no normaliser but lower-casing and goes to the vocabulary's model directly.
+    Such a text's ids are those of its parts between spaces, so parts are encoded once and remembered. A word of Latin-1
+    letters is remembered in lower case and without the marks behind it, which the pre-tokenizer parts from it anyway; one of
+    plain ASCII letters goes to the vocabulary's model directly.
     """
 
     def __init__(self, path: str):
@@ -130,15 +131,19 @@ class WordEncoder:
         self.parts = Remembered(self._part)
 
     def _stem(self, stem: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(stem)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(stem)] if stem.isascii() else self._whole(stem)
+        return np.array(ids, "<u4").tobytes()
+
+    def _whole(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
 
     def _part(self, part: str) -> bytes:
-        if part.isascii():
+        if part.isascii() or max(part) < "\u0100":
             stem = part.rstrip(".,")
             if stem.isalpha():
                 end = part[len(stem) :]
                 return self.stems[stem.lower()] + (self.parts[end] if end else b"")
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._whole(part), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""

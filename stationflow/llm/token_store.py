@@ -150,6 +150,12 @@ class WordEncoder:
         return self.parts.joined(text.replace("\n", " ").split(" "))
 
 
+@cache
+def _word_encoder(path: str) -> WordEncoder:
+    """One per Python worker, so that its later tasks know the words of the earlier ones."""
+    return WordEncoder(path)
+
+
 def _segments(tokenizer: str, end_id: int):
     """Rows in order of doc_id to segments, a shard per partition."""
     end = np.array([end_id], "<u4").tobytes()
@@ -157,7 +163,7 @@ def _segments(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), WordEncoder(tokenizer)
+        shard, encode = TaskContext.get().partitionId(), _word_encoder(tokenizer)
         docs, parts, held, number = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -134,10 +134,59 @@ def check_copies(frame):
 
 
 def test_near_copies(documents, odd):
-    groups = check_copies(documents)
-    assert simhash.survivors(documents).count() == groups
-    assert simhash.survivors(odd).count() == check_copies(odd)
-    assert simhash.survivors(odd).columns == odd.columns
+    check_copies(documents)
+    check_copies(odd)
+
+
+def five_word_set(text: str) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}
+
+
+def check_survivors(frame, least_found=1.0):
+    """Copies that go are copies of others, and of the pairs of copies that brute force finds so many are told."""
+    pairs = texts_of(frame)
+    sets = [five_word_set(t) for _, t in pairs]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in alike:
+        parent[find(i)] = find(j)
+    by_text = {}
+    for r in simhash.similar_copies(frame).collect():
+        by_text[r["text_hash"]] = r["root"]
+    hashes = [r[0] for r in frame.select(F.xxhash64("text")).collect()]
+    texts = [r[0] or "" for r in frame.select("text").collect()]
+    roots = dict(zip(texts, (by_text[h] for h in hashes)))
+    told = [roots[t] for _, t in pairs]
+    groups = {}
+    for i, root in enumerate(told):
+        groups.setdefault(root, set()).add(find(i))
+    assert all(len(g) == 1 for g in groups.values())
+    assert sum(told[i] == told[j] for i, j in alike) >= least_found * len(alike)
+    kept = simhash.survivors(frame)
+    assert kept.columns == frame.columns and kept.count() == len(groups)
+    return len(alike)
+
+
+def test_survivors_of_similar_copies(spark, documents, odd):
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, 300)]
+        for edits in (0, 0, 1, 2, 3, 5, 9, 20, 40):  # the last two share too little
+            copy = list(words)
+            for at in rng.choice(300, edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    assert check_survivors(spark.createDataFrame(rows, "doc_id long, text string"), 0.98) > 30 * 10
+    check_survivors(documents, 0.9)
+    check_survivors(odd)
     assert simhash.survivors(odd.limit(0)).count() == 0
 
 

@@ -6,9 +6,9 @@ segment, the Hamming ball of radius one around its value and keeps the other seg
 of the table are then verified over the whole fingerprint. With the other segment in the key, no entry holds more
 than 65 different fingerprints, however many share a segment: a bucket of near copies never becomes all pairs.
 
-Texts that share four fifths of their five-word shingles differ in too many of 64 bits for that. ``similar_copies`` takes a
-longer fingerprint of twelve segments, enumerates in each the Hamming ball over the bits that were nearest to a tie,
-verifies the whole distance and then the shingles themselves.
+Texts that share four fifths of their five-word shingles differ in too many of 64 bits for that. ``similar_copies`` takes
+the least values of the shingles under many hashes (MinHash), five of them to an index entry, and verifies the shingles
+themselves of all texts of an entry that are not linked yet.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ BLOCK = 1 << 16
 #: Shingle length and least share of common shingles (of all different ones of both) of ``similar_copies``.
 SIMILAR_WORDS = 5
 SIMILARITY = 0.8
-#: Segments of the long fingerprint, their bits, and how many of a segment's least decided bits are flipped, one at a time.
-SEGMENTS, WIDTH, FLIPS = 12, 24, 8
-#: Bits of the long fingerprint in which texts of that similarity may differ: 44 are expected, six the standard deviation.
-FAR_BITS = 66
+#: Index entries of a text and the least hashes that make one: a pair of that similarity shares no entry in 3 of 10^6 cases.
+BANDS, ROWS = 32, 5
+#: About so many different texts are dealt to one bucket where pairs are verified.
+BUCKET = 256
 
 
 def fingerprint_of(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -139,88 +139,123 @@ def shingle_set(text: str, shingle_words: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in pairs), np.uint64, len(words) - k + 1))
 
 
-def _mixed(hashes: np.ndarray, n: int) -> np.ndarray:
-    """``n`` further 64-bit hashes of each hash, by multiplication and shifts."""
-    x = hashes[:, None] + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _factors() -> np.ndarray:
+    """Two odd factors for each of the hashes."""
+    x = np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return ((x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)).reshape(2, -1, 1)
+
+
+FACTORS = _factors()
 
 
 def sketch_of(text: str) -> dict:
-    """``fp`` (hash of the shingle set), ``wide`` (its long SimHash) and ``keys`` (entries of the index: for each segment its
-    value and the values with one of the least decided bits flipped)."""
+    """``fp`` (hash of the shingle set), ``n`` (its size) and ``keys`` (entries of the index)."""
     hashes = shingle_set(text)
-    bits, longs = SEGMENTS * WIDTH, -(-SEGMENTS * WIDTH // 64)
-    ones = np.zeros(64 * longs, np.int64)
-    for at in range(0, hashes.size, BLOCK // 8):
-        mixed = np.ascontiguousarray(_mixed(hashes[at : at + BLOCK // 8], longs)).view(np.uint8)
-        ones += np.unpackbits(mixed, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    margins = 2 * ones[:bits] - hashes.size
-    on = margins > 0
-    packed = np.zeros(8 * longs, np.uint8)
-    packed[: bits // 8] = np.packbits(on, bitorder="little")
-    places = 1 << np.arange(WIDTH)
-    values = on.reshape(SEGMENTS, WIDTH) @ places + (np.arange(SEGMENTS) << WIDTH)
-    weak = np.argsort(np.abs(margins).reshape(SEGMENTS, WIDTH), axis=1, kind="stable")[:, :FLIPS]
-    keys = np.concatenate([values, (values[:, None] ^ places[weak]).ravel()])
+    halves = hashes.view(np.uint32).reshape(-1, 2).T.copy()
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, hashes.size, BLOCK // 64):
+        low, high = halves[:, at : at + BLOCK // 64]
+        np.minimum(least, (FACTORS[0] * low + FACTORS[1] * high).min(axis=1), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    keys = np.array([xxhash.xxh64_intdigest(bands[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
     fp = int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), SEED), np.uint64).view(np.int64))
-    return {"fp": fp, "wide": packed.view("<i8").tolist(), "keys": keys.tolist()}
+    return {"fp": fp, "n": hashes.size, "keys": keys.tolist()}
 
 
 def sketch(text: Column) -> Column:
-    kind = pa.struct([("fp", pa.int64()), ("wide", pa.list_(pa.int64())), ("keys", pa.list_(pa.int32()))])
-    return on_texts(sketch_of, kind, "fp long, wide array<long>, keys array<int>")(text)
-
-
-def _candidates(prints: DataFrame) -> DataFrame:
-    """(fp, root) of different pairs: each member of an index entry beside the entry's first and last one, in an order that
-    differs from segment to segment."""
-    place = F.struct(F.xxhash64("fp", F.shiftright("key", WIDTH)).alias("at"), "fp")
-    entries = prints.select("fp", F.explode("keys").alias("key")).withColumn("place", place)
-    ends = entries.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a < z")
-    ends = ends.select("key", F.array("a.fp", "z.fp").alias("roots"))
-    pairs = entries.select("fp", "key").join(ends, "key").select("fp", F.explode("roots").alias("root")).where("fp != root")
-    return pairs.select(F.greatest("fp", "root").alias("fp"), F.least("fp", "root").alias("root")).distinct()
+    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    return on_texts(sketch_of, kind, "fp long, n int, keys array<long>")(text)
+
+
+def _sized(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
+
+
+def _first_pairs(entries: DataFrame) -> DataFrame:
+    """(fp, root) of different texts: each member of an index entry beside the entry's first one."""
+    firsts = entries.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+    pairs = entries.join(firsts.select("key", F.col("_f.fp").alias("root"), F.col("_f.n").alias("m")), "key")
+    return pairs.where((F.col("fp") != F.col("root")) & _sized("n", "m")).select("fp", "root").distinct()
+
+
+def _other_pairs(prints: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    """(fp, root) of all pairs of an index entry that no links join yet and that were not tried."""
+    rooted = prints.join(roots.withColumnRenamed("root", "of"), "fp", "left").withColumn("of", F.coalesce("of", "fp"))
+    rooted = rooted.select("fp", "n", "of", F.explode("keys").alias("key"))
+    several = rooted.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("z")).where("a < z").select("key")
+    open_ = settle(rooted.join(several, "key", "left_semi"), "open")
+    other = open_.select("key", F.col("fp").alias("root"), F.col("n").alias("m"), F.col("of").alias("_of"))
+    apart = (F.col("of") != F.col("_of")) & (F.col("fp") > F.col("root")) & _sized("n", "m")
+    pairs = open_.join(other, "key").where(apart).select("fp", "root").distinct()
+    return pairs.join(tried, ["fp", "root"], "left_anti")
+
+
+def _similar_in(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of a cell that share enough shingles."""
+    lists = sets["set"].combine_chunks()
+    offsets, hashes = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    offsets = offsets - offsets[0]
+    fps = sets["member"].to_numpy()
+    order = np.argsort(fps)
+    rows = [order[np.searchsorted(fps, pairs[c].to_numpy(), sorter=order)] for c in ("fp", "root")]
+    different, ids = np.unique(hashes, return_inverse=True)
+    has, keep = np.zeros(different.size, bool), np.zeros(pairs.num_rows, bool)
+    by_left = np.argsort(rows[0], kind="stable")
+    for some in np.split(by_left, np.flatnonzero(np.diff(rows[0][by_left])) + 1):
+        left = rows[0][some[0]]
+        mine = ids[offsets[left] : offsets[left + 1]]
+        has[mine] = True
+        for i in some:
+            right = rows[1][i]
+            theirs = ids[offsets[right] : offsets[right + 1]]
+            common = int(np.count_nonzero(has[theirs]))
+            keep[i] = common / (mine.size + theirs.size - common) >= SIMILARITY
+        has[mine] = False
+    return pairs.select(["fp", "root"]).filter(pa.array(keep))
 
 
 def _verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """(fp, root) of the pairs that are near: the whole distance first, then, of those not far, the shingles they share."""
-    wide = prints.select("fp", "wide", "text_hash")
-    other = wide.select(F.col("fp").alias("root"), F.col("wide").alias("_wide"), F.col("text_hash").alias("_hash"))
-    apart = F.aggregate(F.zip_with("wide", "_wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    told = settle(pairs.join(wide, "fp").join(other, "root").select("fp", "root", "text_hash", "_hash", apart.alias("bits")), "distances")
-    close = told.where(F.col("bits") <= FAR_BITS)
-    needed = close.select("text_hash").union(close.select("_hash")).distinct()
-    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(needed, "text_hash", "left_semi")
+    """(fp, root) of the pairs of similar shingle sets.
+
+    Texts are dealt to buckets and pairs to cells of two buckets, so a text that is part of many pairs is moved once for each
+    bucket, not once for each pair.
+    """
+    needed = settle(pairs.select("fp").union(pairs.select("root")).distinct().join(prints.select("fp", "text_hash"), "fp"), "needed")
+    buckets = -(-needed.count() // BUCKET) or 1
+    hashed = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(needed, "text_hash")
     # Of copies one is enough: the least text, if hashes should agree by chance.
-    texts = hashed.groupBy("text_hash").agg(F.min("text").alias("text"))
+    texts = hashed.groupBy("fp").agg(F.min("text").alias("text"))
     to_set = on_texts(lambda t: shingle_set(t).view(np.int64).tolist(), pa.list_(pa.int64()), "array<long>")
-    sets = settle(texts.select("text_hash", to_set(F.col("text")).alias("set")), "shingles")
-    both = close.join(sets, "text_hash").join(sets.select(F.col("text_hash").alias("_hash"), F.col("set").alias("_set")), "_hash")
-    common = F.size(F.array_intersect("set", "_set"))
-    share = common / (F.size("set") + F.size("_set") - common)
-    return both.where(share >= SIMILARITY).select("fp", "root")
+    sets = settle(texts.select("fp", to_set(F.col("text")).alias("set")), "shingles")
+    of = lambda c: F.pmod(F.col(c), F.lit(buckets))
+    celled = settle(pairs.withColumn("cell", F.least(of("fp"), of("root")) * buckets + F.greatest(of("fp"), of("root"))), "cells")
+    places = celled.select(F.col("cell").alias("place"), F.explode(F.array("fp", "root")).alias("member")).distinct()
+    there = places.join(sets.withColumnRenamed("fp", "_fp"), F.col("member") == F.col("_fp")).select("place", "member", "set")
+    return celled.groupBy("cell").cogroup(there.groupBy("place")).applyInArrow(_similar_in, "fp long, root long")
 
 
 def similar_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, root) for every row of ``docs``; rows of one ``root`` are copies of each other, directly or
     over others: texts that share four fifths of their different five-word shingles, or more.
 
-    Every member of an index entry is verified against the entry's first and last fingerprint, in an order that differs
-    between segments; so a large group of copies gives few pairs per member and entry, not all pairs. Two texts are
-    missed if no entry holds both, or if in all that do neither is an end and they are near different ends or none. The index finds
-    about 98 of 100 pairs at the least
-    similarity and more above. NULL and empty texts are copies of each other, texts of fewer words than a shingle
-    have one shingle; rows of equal id each give a row.
+    Every member of an index entry is verified against the entry's first text, which links most of a large group of copies;
+    then all members of an entry that are not linked yet are verified against each other. So no two texts that
+    share an entry are left untold, and the pairs grow with the square only of what is in one entry and not
+    linked. The index misses 3 in 10^6 pairs at the least similarity and fewer above. NULL and empty texts are copies
+    of each other, texts of fewer words than a shingle have one shingle; rows of equal id each give a row.
     """
     marks = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch(F.col("text")).alias("_s"))
     marked = settle(marks.select("doc_id", "text_hash", "_s.*"), "sketches")
-    firsts = marked.groupBy("fp").agg(F.min(F.struct("text_hash", "wide", "keys")).alias("_f"))
+    firsts = marked.groupBy("fp").agg(F.min(F.struct("text_hash", "n", "keys")).alias("_f"))
     prints = settle(firsts.select("fp", "_f.*"), "prints")
-    judged = _verified(settle(_candidates(prints), "candidates"), prints, docs)
-    roots = components(judged)
-    return marked.drop("wide", "keys").join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+    tried = settle(_first_pairs(prints.select("fp", "n", F.explode("keys").alias("key"))), "candidates")
+    told = settle(_verified(tried, prints, docs), "told")
+    others = settle(_other_pairs(prints, components(told), tried), "candidates")
+    roots = components(told.union(_verified(others, prints, docs)))
+    return marked.drop("n", "keys").join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A text is scanned as it is; then whatever looks encoded in it (URL escapes, Unicode escapes, base64, zlib or gzip inside
 base64) is decoded into a layer of its own, and layers are scanned and searched for further ones until none is
 new. A layer seen before for the same place is not opened again, which ends cycles. Every character of a layer
-knows the span of the original text it came from, so all findings are told as spans of the original.
+knows the span of the original text it came from, so all findings are told as spans of the original. Escapes are decoded over
+the whole layer, so plain parts between them stay in their places.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import binascii
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +33,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole or not at all, so its least length may stand in the pattern
 
 NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"\S+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED_UNITS = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 
-Layer = tuple[str, list[tuple[int, int]] | tuple[int, int]]
+#: Where the characters of a layer come from: starts and ends, one span for all of them alike, or None for the same places.
+Places = np.ndarray | tuple[int, int] | None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -68,19 +71,19 @@ def _utf8_runs(raw: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-def _unescape(region: str, runs: re.Pattern, units) -> tuple[str, list[tuple[int, int]]]:
-    """Decoded characters of a region, each with its place in the region."""
-    chars, places, at = [], [], 0
-    for run in runs.finditer(region):
-        chars += region[at : run.start()]
-        places += [(i, i + 1) for i in range(at, run.start())]
-        for char, a, b in units(run.group()):
-            chars.append(char)
-            places.append((run.start() + a, run.start() + b))
-        at = run.end()
-    chars += region[at:]
-    places += [(i, i + 1) for i in range(at, len(region))]
-    return "".join(chars), places
+def _unescape(text: str, runs: re.Pattern, units) -> tuple[str, np.ndarray]:
+    """The text with its escapes decoded, and the starts and ends of each character."""
+    parts, places, at = [], [np.zeros((2, 0), np.int64)], 0
+    for run in [*runs.finditer(text), None]:
+        start = run.start() if run else len(text)
+        parts.append(text[at:start])
+        places.append(np.arange(at, start) + [[0], [1]])
+        if run:
+            decoded = units(run.group())
+            parts += [char for char, _, _ in decoded]
+            places.append(np.array([[start + a for _, a, _ in decoded], [start + b for _, _, b in decoded]], np.int64))
+            at = run.end()
+    return "".join(parts), np.concatenate(places, axis=1)
 
 
 def _url_units(run: str):
@@ -119,9 +122,8 @@ def _inner(text: str):
     """(start, end, decoded, places in the region or None for all of it) of whatever in the text looks encoded."""
     for marks, runs, units in ((("%",), ESCAPED_BYTES, _url_units), (("\\u", "\\x"), ESCAPED_UNITS, _unicode_units)):
         if any(mark in text for mark in marks):
-            for m in TOKEN.finditer(text):
-                if runs.search(m.group()):
-                    yield (*m.span(), *_unescape(m.group(), runs, units))
+            if runs.search(text):
+                yield (0, len(text), *_unescape(text, runs, units))
     for m in BASE64.finditer(text):
         body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -134,26 +136,26 @@ def _inner(text: str):
             yield (*m.span(), decoded, None)
 
 
+def _origin(places: Places, a: int, b: int) -> tuple[int, int]:
+    if places is None:
+        return a, b
+    return places if isinstance(places, tuple) else (int(places[0, a]), int(places[1, b - 1]))
+
+
 def layers(text: str):
-    """All decoded layers with the original span of each character; one pair stands for all characters alike."""
+    """All decoded layers with the places of their characters in the text."""
     work, seen = [(text, None)], set()
     while work:
         layer, places = work.pop()
-
-        def origin(a: int, b: int, places=places) -> tuple[int, int]:
-            if places is None:
-                return a, b
-            return places if isinstance(places, tuple) else (places[a][0], places[b - 1][1])
-
         for start, end, decoded, inside in _inner(layer):
-            span = origin(start, end)
-            if decoded == layer[start:end] or (span, decoded) in seen:
+            span = _origin(places, start, end)
+            mark = (span, xxhash.xxh128_digest(decoded.encode("utf-8", "surrogatepass")))
+            if not decoded or decoded == layer[start:end] or mark in seen:
                 continue
-            seen.add((span, decoded))
-            if inside is None or isinstance(places, tuple):
-                mapped: tuple | list = span
-            else:
-                mapped = [origin(start + a, start + b) for a, b in inside]
+            seen.add(mark)
+            mapped: Places = span
+            if inside is not None and not isinstance(places, tuple):
+                mapped = inside if places is None else np.stack([places[0, inside[0]], places[1, inside[1] - 1]])
             yield decoded, mapped
             work.append((decoded, mapped))
 
@@ -162,9 +164,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     """Base spans of the text and of all its layers, as spans of the text."""
     found = base_spans(text)
     for layer, places in layers(text):
-        for start, end, kind in base_spans(layer):
-            a, b = places if isinstance(places, tuple) else (places[start][0], places[end - 1][1])
-            found.append((a, b, kind))
+        found += [(*_origin(places, start, end), kind) for start, end, kind in base_spans(layer)]
     return in_order(found)
 
 

@@ -430,6 +430,20 @@ def test_layers():
     assert secrets.redacted("no secrets %41 \\u0041 %zz %25%25") == "no secrets %41 \\u0041 %zz %25%25"
 
 
+def test_layers_with_plain_parts_between_escapes():
+    cases = {
+        "a {\\u0022password\\u0022: \\u0022hunter22\\u0022} b": "password\\u0022: \\u0022hunter22",
+        "a password%3A hunter22 b": "password%3A hunter22",
+        "a %22api_key%22  =  %22abc%64efgh%22 b": "api_key%22  =  %22abc%64efgh",
+        "a\nb \\x74oken \\x3d  abcdef c": "\\x74oken \\x3d  abcdef",
+        "a pass%2577ord%253A hunter22 b": "pass%2577ord%253A hunter22",
+    }
+    for text, part in cases.items():
+        at = text.index(part)
+        assert (at, at + len(part), "assign") in secrets.spans_of(text), text
+        assert "hunter22" not in secrets.redacted(text) and secrets.spans_of(secrets.redacted(text)) == []
+
+
 # -- classifiers ----------------------------------------------------------------------------------------
 
 

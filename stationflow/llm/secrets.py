@@ -1,10 +1,11 @@
 """Secret scan with a recursive decoding worklist.
 
-A text is scanned as it is; then whatever looks encoded in it (URL escapes, Unicode escapes, base64, zlib or gzip inside
-base64) is decoded into a layer of its own, and layers are scanned and searched for further ones until none is
+A text is scanned as it is; then whatever looks encoded in it (URL escapes, Unicode escapes, base64, zlib or gzip bytes,
+UTF-16) is decoded into a layer of its own, and layers are scanned and searched for further ones until none is
 new. A layer seen before for the same place is not opened again, which ends cycles. Every character of a layer
 knows the span of the original text it came from, so all findings are told as spans of the original. Escapes are decoded over
-the whole layer, so plain parts between them stay in their places.
+the whole layer, so plain parts between them stay in their places. Base64 is decoded at all four alignments, over line ends, and
+what it gives may hold any bytes; a byte stands as the character of its number.
 """
 
 from __future__ import annotations
@@ -34,6 +35,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run is taken whole or not at all, so its
 
 NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+#: The same over line ends; a line's last characters may be few.
+LINES64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{12,}|[A-Za-z0-9+/_-]+(?=\r?\n))(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}"
+)
+PACKED = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+WIDE = re.compile(r"(?:[\x09-\x7e]\x00){8,}[\x09-\x7e]?")  # UTF-16 of either order, as bytes
+ESCAPED_PACKED = re.compile(r"%1f%8b|(?:x|%78)(?:%01|%5e|\^|%9c|%da)", re.IGNORECASE)
+#: What decoded bytes must hold for a finding or a further layer.
+WORTH = re.compile(
+    rb"passw|secret|token|api_?key|AKIA|[0-9a-f]{24}|%[0-9a-f]{2}|\\[ux]|[a-z0-9+/_-]{12}|[a-z0-9+/_-]\r?\n[ \t]*[a-z0-9+/_-]"
+    rb"|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|(?:[\x09-\x7e]\x00){8}",
+    re.IGNORECASE,
+)
 ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED_UNITS = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 
@@ -102,15 +116,12 @@ def _unicode_units(run: str):
     return out
 
 
+def _byte_units(run: str):
+    return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(binascii.unhexlify(run.replace("%", "")))]
+
+
 def _readable(raw: bytes) -> str | None:
-    """The text that bytes hold, through any compression; None if they hold none."""
-    for _ in range(8):
-        if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2]) % 31 == 0):
-            break
-        try:
-            raw = zlib.decompress(raw, 47)  # 47: either header
-        except zlib.error:
-            break
+    """The text that bytes hold; None if they hold none."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
@@ -118,22 +129,76 @@ def _readable(raw: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
 
 
-def _inner(text: str):
-    """(start, end, decoded, places in the region or None for all of it) of whatever in the text looks encoded."""
-    for marks, runs, units in ((("%",), ESCAPED_BYTES, _url_units), (("\\u", "\\x"), ESCAPED_UNITS, _unicode_units)):
-        if any(mark in text for mark in marks):
-            if runs.search(text):
-                yield (0, len(text), *_unescape(text, runs, units))
-    for m in BASE64.finditer(text):
-        body = m.group().rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
+def _bytes_of(body: str) -> bytes:
+    """The bytes of base64 characters of either alphabet, without a last one that completes none."""
+    body = body.replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _unpacked(text: str):
+    """(start, end, decoded, None) of zlib and gzip streams among characters that stand for bytes."""
+    raw = text.encode("latin-1", "replace")
+    for m in PACKED.finditer(text):
+        stream = zlib.decompressobj(47)  # 47: either header
         try:
-            decoded = _readable(base64.b64decode(body + "=" * (-len(body) % 4)))
-        except (ValueError, binascii.Error):
-            continue
-        if decoded:
+            out = stream.decompress(raw[m.start() :])
+        except zlib.error:
+            out = _before_error(raw[m.start() :])
+        if out:
+            yield m.start(), len(raw) - len(stream.unused_data), out.decode("latin-1"), None
+
+
+def _before_error(raw: bytes) -> bytes:
+    """What a damaged stream, or one with other bytes after its cut end, gives up to the damage."""
+    stream, out = zlib.decompressobj(47), []
+    try:
+        for byte in range(len(raw)):
+            out.append(stream.decompress(raw[byte : byte + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _base64_layers(text: str):
+    clean = set()
+    for m in BASE64.finditer(text):
+        body = m.group().rstrip("=")
+        if len(body) % 4 != 1 and (decoded := _readable(_bytes_of(body))):
+            clean.add(m.span())
             yield (*m.span(), decoded, None)
+    for m in LINES64.finditer(text):
+        run = m.group().rstrip("=")
+        body = "".join(run.split()) if "\n" in run else run
+        if len(body) < 12:
+            continue
+        at = None
+        for skip in range(4):
+            raw = _bytes_of(body[skip:])
+            if not WORTH.search(raw) or (skip == 0 and m.span() in clean):
+                continue
+            if at is None:
+                at = np.array([i for i, c in enumerate(run) if not c.isspace()]) if len(body) < len(run) else np.arange(len(run))
+            bits = 8 * np.arange(len(raw))
+            places = np.stack([at[skip + bits // 6], at[skip + (bits + 7) // 6] + 1])
+            places[1, -1] = m.end() - m.start()
+            yield (*m.span(), raw.decode("latin-1"), places)
+
+
+def _inner(text: str):
+    """(start, end, decoded, places in the region or None for all of it alike) of whatever in the text looks encoded."""
+    for marks, runs, units in ((("%",), ESCAPED_BYTES, _url_units), (("\\u", "\\x"), ESCAPED_UNITS, _unicode_units)):
+        if any(mark in text for mark in marks) and runs.search(text):
+            yield (0, len(text), *_unescape(text, runs, units))
+    if "%" in text and ESCAPED_PACKED.search(text):
+        yield (0, len(text), *_unescape(text, ESCAPED_BYTES, _byte_units))
+    if PACKED.search(text):
+        yield from _unpacked(text)
+    if "\x00" in text:
+        for m in WIDE.finditer(text):
+            wide, at = m.group()[::2], 2 * np.arange(len(m.group()[::2]))
+            yield (*m.span(), wide, np.stack([at, np.minimum(at + 2, len(m.group()))]))
+    yield from _base64_layers(text)
 
 
 def _origin(places: Places, a: int, b: int) -> tuple[int, int]:
@@ -155,6 +220,7 @@ def layers(text: str):
             seen.add(mark)
             mapped: Places = span
             if inside is not None and not isinstance(places, tuple):
+                inside = inside + start
                 mapped = inside if places is None else np.stack([places[0, inside[0]], places[1, inside[1] - 1]])
             yield decoded, mapped
             work.append((decoded, mapped))

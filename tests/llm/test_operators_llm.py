@@ -444,6 +444,42 @@ def test_layers_with_plain_parts_between_escapes():
         assert "hunter22" not in secrets.redacted(text) and secrets.spans_of(secrets.redacted(text)) == []
 
 
+def test_base64_in_paths_over_lines_and_with_any_bytes():
+    import base64
+    import gzip
+    import zlib
+    from urllib.parse import quote
+
+    def b64(raw):
+        return base64.b64encode(raw).decode()
+
+    secret = b"token=abcdefgh12345"
+    long = b"some words before it, to fill a line or two of the wrapped form, and then more; " + secret + b"; and words after it"
+    wrapped = base64.encodebytes(long).decode()
+    packed = base64.encodebytes(gzip.compress(bytes(range(256)) + long)).decode()
+    forms = [
+        *["path/cb/" + "x" * n + "/" + b64(secret) for n in range(4)], "id-7_" + b64(secret), "a+" + b64(secret).rstrip("="),
+        "p/" + b64(gzip.compress(secret)), wrapped, wrapped.replace("\n", "\r\n  "), packed, b64(b"\x00\x01" + secret), b64(secret.decode().encode("utf-16-le")),
+        b64(b"\xfe\xff" + secret.decode().encode("utf-16-be")), quote(gzip.compress(secret)), quote(zlib.compress(secret)),
+        b64(b"x/" + base64.urlsafe_b64encode(b"\xff\x00" + secret)), "".join(f"\\x{c:02x}" for c in gzip.compress(secret)),
+    ]
+    for _ in range(12):
+        packed = b64(zlib.compress(packed.encode() if isinstance(packed, str) else packed))
+    forms.append(packed)
+    many = secret
+    for _ in range(10):
+        many = zlib.compress(many)
+    forms.append(b64(many))
+    for form in forms:
+        text = f"é before: {form} after"
+        spans = secrets.spans_of(text)
+        assert any(k == "assign" and 10 <= a < b <= 10 + len(form) for a, b, k in spans), form
+        assert not any(k == "assign" for _, _, k in secrets.spans_of(secrets.redacted(text))), form
+        assert secrets.redacted(text).startswith("é before: ") and secrets.redacted(text).endswith(" after")
+    path = secrets.redacted(f"path/cb/abc/{b64(secret)} after")
+    assert path.startswith("path/cb/") and path.endswith(" after")
+
+
 # -- classifiers ----------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """Licence recognition by sentence rules, in DataFrame functions.
 
-Sentences are normalised and mapped to identifiers of known licence sentences. A licence is recognised where a rule's
+Sentences are normalised and mapped to identifiers of known licence sentences, also where these are wrapped over lines. A licence is recognised where a rule's
 identifiers stand in the document in the rule's order, with at most ``GAP`` other sentences between them. The known
 sentences and rules are a short fixed list and part of the plan, so documents are read once and never moved.
 """
@@ -14,6 +14,11 @@ from stationflow.llm.common import ascii_lower, bind
 
 GAP = 3
 
+#: A known sentence may be wrapped over so many pieces.
+PIECES = 100
+#: Every text with a known sentence has one of these.
+HINTS = "licen|copyright|redistribut|warranty|permission|cc0"
+
 # Known licence sentences, normalised (lower case, one space between runs of letters and digits).
 SENTENCES = {
     "apache-notice": "licensed under the apache license version 2 0",
@@ -48,18 +53,81 @@ RULES = (
     ("MPL-2.0", ("mpl-notice",)),
 )
 
-#: Where sentences end: marks before white space or the end, or a line's end.
+# The same sentences as the licences' own texts have them.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+_GPL += " as published by the free software foundation"
+_BSD = "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_WAIVED = "all copyright and related or neighboring rights to this"
+FULL = (
+    ("apache-notice", "licensed under the apache license version 2 0 the license"),
+    ("apache-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    (
+        "mit-grant",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to "
+        "do so subject to the following conditions",
+    ),
+    *(("gpl-free", f"{_GPL} either version {n} of the license or at your option any later version") for n in (2, 3)),
+    *(("gpl-free", f"{_GPL}{end}") for n in (2, 3) for end in (f" version {n}", f" version {n} of the license")),
+    (
+        "gpl-warranty",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+        "merchantability or fitness for a particular purpose",
+    ),
+    (
+        "bsd-redistribution",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met",
+    ),
+    ("bsd-source", _BSD),
+    ("bsd-source", f"1 {_BSD}"),
+    *(("cc0", f"to the extent possible under law the {who} waived {_WAIVED} {what}")
+      for who in ("author has", "author s have", "authors have") for what in ("work", "software")),
+    (
+        "cc0",
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software "
+        "to the public domain worldwide",
+    ),
+    ("cc0", "cc0 1 0 universal"),
+)
+
+#: Where pieces end: marks before white space or the end, or a line's end.
 ENDS = r"[.!?;]+(?:[\x20\x09-\x0D]+|$)|[\x0A-\x0D]+"
 BETWEEN = "[^a-z0-9]+"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Array of (position, id) of the known sentences among all sentences of the text, in order; empty for NULL."""
-    known = F.create_map(*[F.lit(x) for key, sentence in SENTENCES.items() for x in (sentence, key)])
-    sentences = F.split(ascii_lower(F.coalesce(text, F.lit(""))), ENDS)
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
-    marked = F.transform(normal, lambda s, i: F.struct(i.alias("position"), F.try_element_at(known, s).alias("id")))
-    return F.filter(marked, lambda x: x["id"].isNotNull())
+    """Array of (position, last, id) of the known sentences among all pieces of the text, in order; empty for NULL.
+
+    A known sentence is one piece or several that follow each other, since licences are wrapped and have marks within a
+    sentence (``v. 2.0``); from ``position`` to ``last``. Of those that begin at one piece the longest counts.
+    """
+    forms = [*((sentence, key) for key, sentence in SENTENCES.items()), *((sentence, key) for key, sentence in FULL)]
+    known = F.create_map(*[F.lit(x) for form in forms for x in form])
+    firsts = sorted({sentence.split()[0] for sentence, _ in forms})
+    none = F.struct(F.lit("").alias("text"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("n"), F.lit(0).alias("last"))
+
+    def step(state: Column, piece: Column) -> Column:
+        joined = F.trim(F.concat(state["text"], F.lit(" "), piece))
+        found = F.try_element_at(known, joined)
+        ends = found.isNotNull() & (piece != "")
+        last = F.when(ends, state["n"]).otherwise(state["last"])
+        return F.struct(joined.alias("text"), F.coalesce(found, state["id"]).alias("id"), (state["n"] + 1).alias("n"), last.alias("last"))
+
+    def sentences(normal: Column) -> Column:
+        def at(piece: Column, i: Column) -> Column:
+            begins = F.substring_index(piece, " ", 1).isin(firsts)
+            found = F.when(begins, F.aggregate(F.slice(normal, i + 1, PIECES), none, step))
+            return F.struct(i.alias("position"), (i + found["last"]).alias("last"), found["id"].alias("id"))
+
+        return F.filter(F.transform(normal, at), lambda x: x["id"].isNotNull())
+
+    pieces = F.split(ascii_lower(F.coalesce(text, F.lit(""))), ENDS)
+    normal = F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, BETWEEN, " ")))
+    hinted = ascii_lower(F.coalesce(text, F.lit(""))).rlike(HINTS)
+    found = bind(normal, sentences)
+    return F.when(hinted, found).otherwise(F.array().cast("array<struct<position:int,last:int,id:string>>"))
 
 
 def _ends(found: Column, rule: tuple[str, ...], gap: int) -> Column:
@@ -75,7 +143,7 @@ def _ends(found: Column, rule: tuple[str, ...], gap: int) -> Column:
         reached = [x["id"] == rule[0]]
         for j in range(1, k):
             reached.append((x["id"] == rule[j]) & (x["position"] - state["at"][j - 1] <= gap + 1))
-        at = F.array(*[F.when(reached[j], x["position"]).otherwise(state["at"][j]) for j in range(k)])
+        at = F.array(*[F.when(reached[j], x["last"]).otherwise(state["at"][j]) for j in range(k)])
         return F.struct(at.alias("at"), (state["n"] + reached[-1].cast("int")).alias("n"))
 
     return F.aggregate(found, start, step)["n"]

@@ -261,6 +261,32 @@ def test_licenses(spark, odd):
     assert licenses.recognised(odd.limit(0)).count() == 0
 
 
+def test_licenses_as_their_texts_have_them(spark):
+    import textwrap
+
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+           "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+           "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+           "following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.")
+    gpl = ("This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+           "the Free Software Foundation{} either version 3 of the License, or (at your option) any later version.",
+           "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.")
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.")
+    apache = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+              "You may obtain a copy of the License at", "    http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law")
+    mpl = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed",)
+    cc0 = ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",)
+    cases = [(mit, "MIT"), (tuple(x.format(":", ",") for x in gpl), "GPL"), (tuple(x.format(";", ";") for x in gpl), "GPL"), (bsd, "BSD"),
+             (apache, "Apache-2.0"), (mpl, "MPL-2.0"), (cc0, "CC0-1.0")]
+    rows = [("\n\n".join("\n".join(textwrap.wrap(x, width, initial_indent=mark, subsequent_indent=mark)) for x in parts), name)
+            for parts, name in cases for width, mark in ((10**6, ""), (72, ""), (40, " * "), (25, "# "))]
+    frame = spark.createDataFrame([(i, f"Copyright (c) A B\n\n{t}\n") for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = rows_of(licenses.recognised(frame).orderBy("doc_id"))
+    assert [r["licenses"] for r in got] == [name for _, name in rows]
+
+
 # -- SentencePiece --------------------------------------------------------------------------------------
 
 

@@ -35,8 +35,7 @@ def op4_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    found = pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.drop("ids")
+    return pieces.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:

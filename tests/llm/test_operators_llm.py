@@ -290,6 +290,12 @@ def test_licenses_as_their_texts_have_them(spark):
 # -- SentencePiece --------------------------------------------------------------------------------------
 
 
+def test_sentencepiece_query_returns_the_ids(spark):
+    for r in queries.op5_sentencepiece(spark, FOLDER).collect():
+        assert len(r["ids"]) == r["n_tokens"]
+        assert zlib.crc32(np.array(r["ids"], "<i4").tobytes()) == r["ids_crc32"]
+
+
 def test_pieces_agree_with_sentencepiece(documents, odd):
     code = pieces.codec(PIECES)
     odd_texts = ["", " ", "  a  b ", "▁x ▁", "a▁b", " " * 40 + "q", "日本語\n\n テスト", "<s> <0x41> é́ 😀", "\x00\t\r\n"]

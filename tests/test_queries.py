@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle, registry
 from checks.compare import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 WITHOUT_SQL = {"train_logistic", "train_boosted_trees", "predict_latest_risk"}
 
 
@@ -25,6 +30,21 @@ def test_every_query_but_the_trained_models_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
+def test_entry_imports_without_the_training_data_folder(tmp_path):
+    """The same queries are there when that folder and the pipeline are not."""
+    root = Path(entry.__file__).parent
+    for name in ("stationflow", "checks"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    asks = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for pipeline in (False, True):
+        if pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        told = subprocess.run([sys.executable, "-c", asks], cwd=tmp_path, capture_output=True, text=True, check=True)
+        assert told.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
 
 
 # A window over a whole table is fine only where the table is one row per day, or a pool or grid of known size.

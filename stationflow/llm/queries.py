@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationflow.llm import contamination, licenses, pieces, quality, secrets, simhash, sketches, token_store, toxicity, urls
+from stationflow.llm import (
+    chat, contamination, fim, lexical, licenses, pieces, quality, secrets, simhash, sketches, sql, token_store, toxicity, urls,
+)
 from stationflow.llm.common import table
 
 
@@ -67,13 +69,33 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(docs, quality.train(docs, table(spark, folder, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.transformed(table(spark, folder, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], given.schema)
+    return chat.read_back(chat.formatted(given.unionByName(planted), chat.text_parts(F.col("text"))))
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_url_filter, op2_token_output, op3_simhash, op4_licenses, op5_sentencepiece, op6_decontamination, op7_fingerprints,
-        op8_toxicity, op9_secrets, op10_quality,
+        op8_toxicity, op9_secrets, op10_quality, op11_fill_in_middle, op12_chat_format, op13_ranked_search,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.STATEMENTS)

@@ -1,85 +1,146 @@
 """Previous-row logic on streams, in event-time order whatever the order of arrival.
 
-A micro-batch holds rows as files arrive. Rows of a key are kept in state until the watermark has passed
-them, then handled in time order; the state per key is its last row and the rows of one delay.
+A micro-batch holds rows as files arrive. Rows of a key are appended to list state and stay there until an event-time timer
+tells that the watermark has passed the earliest of them; only then is the list read, and what the watermark has passed is
+handled in time order. So a trigger costs what it brings, and the state of a key is its last row and the rows of one delay.
+State is kept by RocksDB, on the executors' disks and in the checkpoint.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from stationflow.functions.clock import MINUTE_US, minutes_between, seconds_between
+from stationflow.functions.clock import DAY_US, MINUTE_US, floor_div, minutes_between, seconds_between
 from stationflow.functions.rules import require
 
-_STATE = T.StructType(
-    [
-        T.StructField("last", T.StringType()),
-        T.StructField("waiting", T.StringType()),
-        T.StructField("told_idle", T.BooleanType()),
-    ]
-)
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Kinds of rows that ``follow`` gives out.
+NEXT, IDLE, LAST = "next", "idle", "last"
 
-def _plain(value):
-    """A value JSON can hold."""
-    if value is None or (isinstance(value, float) and value != value) or value is pd.NaT:
-        return None
-    return value.item() if hasattr(value, "item") else value
 
+def use_state_lists(spark: SparkSession) -> None:
+    """List state and timers need the RocksDB state store; a provider that the cluster has named stays."""
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
-def follow(stream: DataFrame, key: str, time: str, carry: list[str], idle_us: int | None = None) -> DataFrame:
+
+def _readers(fields: list[T.StructField]) -> list[Callable]:
+    """Per field, what turns a value of an Arrow frame back into a plain one; NULL numbers arrive as NaN."""
+
+    def reader(kind: T.DataType) -> Callable:
+        plain = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else bool if isinstance(kind, T.BooleanType) else str
+        return lambda v: None if v is None or v is pd.NA or v != v else plain(v)
+
+    return [reader(f.dataType) for f in fields]
+
+
+def _in_time(row: tuple) -> list[tuple]:
+    return [(v is not None, v) for v in row]
+
+
+class Follower(StatefulProcessor):
+    """Hands out the rows of a key in time order, each with the one before it.
+
+    ``idle_us``: tell when a key has shown no row for that long. ``span_us``: the key is the number of a span of time of that
+    length; once the watermark has passed its end its last row is told and its state dropped.
+    """
+
+    def __init__(self, row: T.StructType, columns: list[str], idle_us: int | None, span_us: int | None):
+        self.row, self.columns, self.idle_us, self.span_us = row, columns, idle_us, span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.held = handle.getValueState("last", T.StructType([*self.row.fields, T.StructField("told", T.BooleanType())]))
+        self.readers = _readers(self.row.fields)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            columns = [[read(v) for v in batch[f.name]] for read, f in zip(self.readers, self.row.fields)]
+            came = list(zip(*columns))
+            if came:
+                self.waiting.appendList(came)
+                first = min(columns[0])
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        last, told = None, True
+        if self.held.exists():
+            *last, told = self.held.get()
+        ready, rest = [], []
+        for row in self.waiting.get():
+            (ready if row[0] <= passed else rest).append(tuple(row))
+        blank, out = [None] * len(self.row.fields), []
+        for row in sorted(ready, key=_in_time):
+            if not told and self._overdue(last, row[0] - 1):
+                out.append([IDLE, key[0], *blank, *last])
+            out.append([NEXT, key[0], *row, *(last or blank)])
+            last, told = row, self.idle_us is None
+        if not told and self._overdue(last, passed):
+            out.append([IDLE, key[0], *blank, *last])
+            told = True
+        end = None if self.span_us is None else (key[0] + 1) * self.span_us
+        if end is not None and end <= passed:
+            if last is not None:
+                out.append([LAST, key[0], *blank, *last])
+            self.waiting.clear()
+            self.held.clear()
+        else:
+            if ready:
+                self.waiting.put(rest) if rest else self.waiting.clear()
+            if last is not None:
+                self.held.update((*last, told))
+                if not told:
+                    self._wake(last[0] + self.idle_us)
+            if rest:
+                self._wake(min(row[0] for row in rest))
+            if end is not None:
+                self._wake(end)
+        if out:
+            yield pd.DataFrame({name: pd.Series(column, dtype="object") for name, column in zip(self.columns, zip(*out))})
+
+    def close(self) -> None:
+        pass
+
+    def _overdue(self, last, at: int) -> bool:
+        return last is not None and at >= last[0] + self.idle_us
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+
+def follow(
+    stream: DataFrame, key: str, time: str, carry: list[str], idle_us: int | None = None, span_us: int | None = None
+) -> DataFrame:
     """Pairs of consecutive rows per key: ``kind, key, us, <carry>, previous_us, previous_<carry>``.
 
-    ``kind`` is 'next' for a row with the one before it (NULL for the first). With ``idle_us`` an 'idle'
-    row, current part NULL, is given out when a key shows no row for that long.
+    ``kind`` is 'next' for a row with the one before it (NULL for the first); 'idle' (with ``idle_us``) for a key that showed no row
+    for that long, and 'last' (with ``span_us``) for the last row of a span, both with a NULL current part.
     """
+    use_state_lists(stream.sparkSession)
     rows = stream.select(key, time, F.unix_micros(time).alias("us"), *carry)
     kinds = {f.name: f.dataType for f in rows.schema}
     names = ["us", *carry]
+    row = T.StructType([T.StructField(n, kinds[n]) for n in names])
     schema = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField(key, kinds[key])]
-        + [T.StructField(n, kinds[n]) for n in names]
+        + row.fields
         + [T.StructField(f"previous_{n}", kinds[n]) for n in names]
     )
-    blank = [None] * len(names)
-
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting, told = state.get if state.exists else ("null", "[]", True)
-        last, waiting = json.loads(last), json.loads(waiting)
-        for batch in batches:
-            waiting += [[_plain(v) for v in row] for row in batch[names].itertuples(index=False, name=None)]
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready = sorted((r for r in waiting if r[0] <= passed), key=lambda r: [(v is not None, v) for v in r])
-        waiting = [r for r in waiting if r[0] > passed]
-        out = []
-        for row in ready:
-            if last is not None and idle_us is not None and not told and row[0] > last[0] + idle_us:
-                out.append(["idle", group[0], *blank, *last])
-            out.append(["next", group[0], *row, *(last or blank)])
-            last, told = row, False
-        if last is not None and idle_us is not None and not told and passed >= last[0] + idle_us:
-            out.append(["idle", group[0], *blank, *last])
-            told = True
-        state.update((json.dumps(last), json.dumps(waiting), told))
-        wake = [r[0] for r in waiting]
-        if last is not None and idle_us is not None and not told:
-            wake.append(last[0] + idle_us)
-        if wake:
-            state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, passed // 1000 + 1))
-        if out:
-            columns = list(zip(*out))
-            yield pd.DataFrame({n: pd.Series(c, dtype="object") for n, c in zip(schema.names, columns)})
-
-    return rows.groupBy(key).applyInPandasWithState(
-        step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    follower = Follower(row, schema.names, idle_us, span_us)
+    return rows.groupBy(key).transformWithStateInPandas(follower, schema, "append", "eventTime")
 
 
 def depletion_stream(status: DataFrame) -> DataFrame:
@@ -97,10 +158,10 @@ def departure_stream(free: DataFrame, max_window_minutes: int = 240, open_after_
     pairs = follow(free, "bike_id", "collected_at", ["station_id"], open_after_minutes * MINUTE_US)
     window = minutes_between(F.col("previous_us"), F.col("us"))
     moved = F.coalesce("station_id", F.lit("")) != F.col("previous_station_id")
-    again = (F.col("kind") == "next") & moved & (window <= max_window_minutes)
-    known = pairs.where(F.col("previous_station_id").isNotNull() & ((F.col("kind") == "idle") | again))
+    again = (F.col("kind") == NEXT) & moved & (window <= max_window_minutes)
+    known = pairs.where(F.col("previous_station_id").isNotNull() & ((F.col("kind") == IDLE) | again))
     return known.select(
-        F.when(F.col("kind") == "idle", "not-seen").otherwise("seen-again").alias("status"),
+        F.when(F.col("kind") == IDLE, "not-seen").otherwise("seen-again").alias("status"),
         "bike_id",
         F.timestamp_micros("previous_us").alias("departed_after"),
         F.timestamp_micros("us").alias("next_seen_at"),
@@ -110,12 +171,58 @@ def departure_stream(free: DataFrame, max_window_minutes: int = 240, open_after_
     )
 
 
+class DayEdges(StatefulProcessor):
+    """Second level of the gaps: the last run of a day is handed to the first run of the next day that has any.
+
+    Gaps found within a day pass through under that day's key; edges, two rows a day, meet under one key. A day's rows come in
+    the trigger in which the watermark passes them, so later triggers only bring later days.
+    """
+
+    EDGES = -1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        found = []
+        for batch in rows:
+            for us, previous in zip(batch["us"], batch["previous_us"]):
+                found.append(tuple(None if v is None or v != v else int(v) for v in (us, previous)))
+        if key[0] != self.EDGES:
+            pairs = found
+        else:
+            last = self.held.get()[0] if self.held.exists() else None
+            pairs = []
+            # a day's first run (no previous) comes before its last one (no current)
+            for us, previous in sorted(found, key=lambda f: (f[0] if f[0] is not None else f[1], f[0] is None)):
+                if us is None:
+                    last = previous
+                else:
+                    pairs.append((us, last))
+            if last is not None:
+                self.held.update((last,))
+        if pairs:
+            yield pd.DataFrame({n: pd.Series(c, dtype="object") for n, c in zip(("us", "previous_us"), zip(*pairs))})
+
+    def close(self) -> None:
+        pass
+
+
 def gap_stream(runs: DataFrame, gap_threshold_seconds: int = 120) -> DataFrame:
-    """Gaps between runs. There is one key, but also only one row per snapshot."""
-    pairs = follow(runs.select(F.lit("runs").alias("feed"), "collected_at"), "feed", "collected_at", [])
-    gap = seconds_between(F.col("previous_us"), F.col("us"))
-    return pairs.where(gap > gap_threshold_seconds).select(
+    """Gaps between runs, found within each UTC day and, from one row per day's edge, between days."""
+    use_state_lists(runs.sparkSession)
+
+    def gap() -> Column:
+        return seconds_between(F.col("previous_us"), F.col("us"))
+
+    daily = runs.select(floor_div(F.unix_micros("collected_at"), DAY_US).alias("day"), "collected_at")
+    rows = follow(daily, "day", "collected_at", [], span_us=DAY_US)
+    edge = F.col("us").isNull() | F.col("previous_us").isNull()
+    kept = rows.where(edge | (gap() > gap_threshold_seconds))
+    lanes = kept.select(F.when(edge, F.lit(DayEdges.EDGES).cast("long")).otherwise(F.col("day")).alias("lane"), "us", "previous_us")
+    pairs = lanes.groupBy("lane").transformWithStateInPandas(DayEdges(), "us long, previous_us long", "append", "none")
+    return pairs.where(gap() > gap_threshold_seconds).select(
         F.timestamp_micros("previous_us").alias("previous_collected_at"),
         F.timestamp_micros("us").alias("collected_at"),
-        gap.alias("gap_seconds"),
+        gap().alias("gap_seconds"),
     )

@@ -119,6 +119,23 @@ def test_gaps(spark, tmp_path):
     assert [(g.collected_at, g.gap_seconds) for g in gaps] == [(START + timedelta(minutes=17), 360)]
 
 
+def test_gaps_over_midnight_and_over_days_without_runs(spark, tmp_path):
+    """Runs of five days, one of them with a single run and one with none, in files that come out of order."""
+    minutes = [0, 1, 2, 9, 1438, 1439, 1441, 1447, 2 * 1440 + 700, 4 * 1440, 4 * 1440 + 1, 4 * 1440 + 1439, 5 * 1440 + 60]
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    order = [minutes[i ^ 1] if i ^ 1 < len(minutes) else minutes[i] for i in range(len(minutes))]
+    for at, minute in enumerate([*order, 40 * 1440]):
+        path = folder / f"{at:04d}.json"
+        path.write_text(json.dumps({"collected_at": (START + timedelta(minutes=minute)).isoformat() + "+00:00", "feeds": {}}))
+        os.utime(path, (1_700_000_000 + at, 1_700_000_000 + at))
+    stream = raw_stream(spark, str(folder), 2).withWatermark("collected_at", "3 days")
+    gaps = drain(gap_stream(stream, 120), tmp_path, "gaps_days").collect()
+    want = [(a, b) for a, b in zip(minutes, minutes[1:]) if b - a > 2]
+    found = sorted((g.previous_collected_at, g.collected_at, g.gap_seconds) for g in gaps)
+    assert found == [(START + timedelta(minutes=a), START + timedelta(minutes=b), 60 * (b - a)) for a, b in want]
+
+
 def test_labels_take_the_first_state_in_the_band(spark, tmp_path):
     landing = land(tmp_path / "landing", ORDERS["in_order"])
 

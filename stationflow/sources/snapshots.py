@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,7 +29,12 @@ def land_snapshots(raw: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("date").json(path)
 
 
-def _documents(source: SparkSession | DataStreamReader, path: str, multi_line: bool) -> DataFrame:
+def read_documents(source: SparkSession | DataStreamReader, path: str, multi_line: bool = False) -> DataFrame:
+    """All documents with their file path, also what is no JSON (its text in ``CORRUPT``) or has no time.
+
+    Works for ``spark`` and for ``spark.readStream`` (with its options set by the caller). Our own landing writes one
+    document per line; ``multi_line`` reads files of one indented document each.
+    """
     reader = source.read if isinstance(source, SparkSession) else source
     schema = StructType([*RAW.fields, StructField(CORRUPT, StringType())])
     reader = reader.schema(schema).option("recursiveFileLookup", "true").option("columnNameOfCorruptRecord", CORRUPT)
@@ -36,17 +43,13 @@ def _documents(source: SparkSession | DataStreamReader, path: str, multi_line: b
 
 
 def read_raw(source: SparkSession | DataStreamReader, path: str, multi_line: bool = False) -> DataFrame:
-    """Raw documents with their file path; ``read_rejected`` has those that are none.
-
-    Works for ``spark`` and for ``spark.readStream`` (with its options set by the caller). Our own landing writes one
-    document per line; ``multi_line`` reads files of one indented document each.
-    """
-    return _documents(source, path, multi_line).where("collected_at is not null").drop(CORRUPT)
+    """Raw documents with their file path; ``read_rejected`` has those that are none."""
+    return read_documents(source, path, multi_line).where("collected_at is not null").drop(CORRUPT)
 
 
 def read_rejected(source: SparkSession | DataStreamReader, path: str, multi_line: bool = False) -> DataFrame:
     """(raw_path, document) of what can't be read as a snapshot: no JSON, or without a readable ``collected_at``."""
-    docs = _documents(source, path, multi_line).where("collected_at is null")
+    docs = read_documents(source, path, multi_line).where("collected_at is null")
     return docs.select("raw_path", F.coalesce(CORRUPT, F.to_json("feeds")).alias("document"))
 
 
@@ -56,28 +59,38 @@ def keep_feeds(raw: DataFrame, names: list[str]) -> DataFrame:
     return raw.withColumn("feeds", F.struct(*[F.col(f"feeds.{n}").alias(n) for n in names if n in have]))
 
 
-def _rows(raw: DataFrame, feed: str, items: str, stamp: str) -> DataFrame:
+#: Feed: its list of rows and their id.
+FEED_ROWS = {
+    "station_status": ("stations", "station_id"),
+    "station_information": ("stations", "station_id"),
+    "free_bike_status": ("bikes", "bike_id"),
+}
+
+
+def feed_rows(raw: DataFrame, feed: str, items: str, stamp: str, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per entry of a feed's list, with the document's time as ``stamp`` and its columns ``keep``."""
     if feed not in raw.schema["feeds"].dataType.names:
         raw = raw.withColumn("feeds", F.struct(F.lit(None).cast(FEEDS[feed].dataType).alias(feed)))
     exploded = raw.select(
         F.col("collected_at").alias(stamp),
+        *keep,
         F.col(f"feeds.{feed}.last_updated").alias("feed_last_updated"),
         F.explode(f"feeds.{feed}.data.{items}").alias("row"),
     )
-    return exploded.select(stamp, "feed_last_updated", "row.*")
+    return exploded.select(stamp, *keep, "feed_last_updated", "row.*")
 
 
 def normalize_status(raw: DataFrame) -> DataFrame:
-    rows = _rows(raw, "station_status", "stations", "collected_at")
+    rows = feed_rows(raw, "station_status", "stations", "collected_at")
     return rows.withColumn("vehicle_types_available", F.coalesce("vehicle_types_available", F.lit("[]")))
 
 
 def normalize_info(raw: DataFrame) -> DataFrame:
-    return _rows(raw, "station_information", "stations", "observed_at")
+    return feed_rows(raw, "station_information", "stations", "observed_at")
 
 
 def normalize_free_bikes(raw: DataFrame) -> DataFrame:
-    rows = _rows(raw, "free_bike_status", "bikes", "collected_at")
+    rows = feed_rows(raw, "free_bike_status", "bikes", "collected_at")
     return rows.withColumn("rental_uris", F.coalesce("rental_uris", F.lit("{}")))
 
 
@@ -102,37 +115,9 @@ def run_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def append_new(rows: DataFrame, path: str, stamp: str = "collected_at", entity: str | None = None) -> None:
-    """Append rows whose key (``stamp`` and ``entity``) the table does not hold yet, in date partitions.
-
-    A repeated call with the same snapshots adds nothing, rows of equal key within the call count once, and a late part of a
-    snapshot that is held still adds its own rows. Of equal keys with other contents the one with the smallest hash is
-    taken, whatever their order. Only the date folders that the new rows fall into are looked at.
-    """
-    keys = [stamp] if entity is None else [stamp, entity]
-    content = F.xxhash64(*[F.to_json(F.struct(c)) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes])
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(content))
-    rows = rows.withColumn("_place", place).where("_place = 1").drop("_place")
-    spark = rows.sparkSession
-    dated = rows.withColumn("date", snapshot_date(rows, stamp))
-    days = dated.agg(F.min("date"), F.max("date")).first()
-    if days[0] is None:
-        return
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    if exists:
-        table = spark.read.schema(dated.schema).parquet(path)
-        held = table.where(F.col("date").between(*days)).select("date", *keys).distinct()
-        dated = dated.join(held, ["date", *keys], "left_anti")
-    dated.write.mode("append").partitionBy("date").parquet(path)
-
-
-def append_normalized(raw: DataFrame, root: str) -> None:
-    """Append all four tables below ``root``; runs come last, so a run row means its rows are there."""
-    append_new(normalize_status(raw), f"{root}/station_status", entity="station_id")
-    append_new(normalize_info(raw), f"{root}/station_information", "observed_at", "station_id")
-    append_new(normalize_free_bikes(raw), f"{root}/free_bikes", entity="bike_id")
-    # documents of one time, copies or with other feeds, are one run
+def add_parts(runs: DataFrame) -> DataFrame:
+    """One run row per time from ``run_rows`` of documents that hold different parts of a snapshot; copies of a part would
+    count again, so rows with a key are counted instead where there may be any (``lake.ingest``)."""
     counts = ["station_count", "bikes_available", "free_bike_count"]
-    per_time = run_rows(raw).groupBy("collected_at").agg(F.min("raw_path").alias("raw_path"), *[F.max(c).alias(c) for c in counts])
-    append_new(per_time, f"{root}/runs")
+    sums = [F.sum(c).cast("int").alias(c) for c in counts]
+    return runs.groupBy("collected_at").agg(F.min("raw_path").alias("raw_path"), *sums)

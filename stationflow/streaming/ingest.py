@@ -3,36 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from stationflow.sources.snapshots import append_normalized, normalize_free_bikes, normalize_status, read_raw
+from stationflow.sources.lake import ingest
+from stationflow.sources.snapshots import normalize_free_bikes, normalize_status, read_documents, read_raw
 
+#: Files a trigger takes unless told otherwise, so that what a trigger brings does not depend on how much has landed.
+MAX_FILES = 1000
 
-def raw_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return read_raw(reader, landing)
+
+def _reader(spark: SparkSession, max_files: int) -> DataStreamReader:
+    return spark.readStream.option("maxFilesPerTrigger", max_files)
+
+
+def raw_stream(spark: SparkSession, landing: str, max_files: int = MAX_FILES) -> DataFrame:
+    return read_raw(_reader(spark, max_files), landing)
 
 
 def start_ingest(
-    spark: SparkSession, landing: str, root: str, checkpoint: str, max_files: int | None = None, drain: bool = True
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    checkpoint: str,
+    max_files: int = MAX_FILES,
+    drain: bool = True,
+    multi_line: bool = False,
 ) -> StreamingQuery:
-    """Append new documents to the four tables below ``root``.
+    """File new documents in the tables below ``root``, each micro-batch as one commit.
 
-    A batch that is tried again appends nothing twice: snapshots already held are left out by their time.
+    A micro-batch is known by stream and number, so one that is tried again after its commit is left out, and one that failed
+    before has left nothing to be seen. Documents that are read again by another stream add no row twice.
     ``drain`` stops after what has landed so far.
     """
+    docs = read_documents(_reader(spark, max_files), landing, multi_line)
+    stream = checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
-    def append(raw: DataFrame, _: int) -> None:
-        kept = raw.persist()
+    def file(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
         try:
-            append_normalized(kept, root)
+            ingest(kept, root, f"{stream}-{number}")
         finally:
             kept.unpersist()
 
-    writer = raw_stream(spark, landing, max_files).writeStream.foreachBatch(append)
-    writer = writer.option("checkpointLocation", checkpoint)
+    writer = docs.writeStream.foreachBatch(file).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if drain else writer).start()
 
 

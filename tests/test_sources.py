@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stationflow.sources import history, polygons, snapshots, tables
+from stationflow.sources import history, lake, polygons, snapshots, tables
 
 
 def write(folder, name, text):
@@ -58,16 +58,17 @@ def test_land_and_read_back(spark, tmp_path):
     assert snapshots.normalize_status(again).exceptAll(snapshots.normalize_status(raw)).isEmpty()
 
 
-def test_append_is_idempotent(spark, tmp_path):
+def test_ingest_is_idempotent(spark, tmp_path):
     write(tmp_path / "in", "one.json", json.dumps(DOC))
     later = DOC | {"collected_at": "2024-05-03T08:00:00+02:00"}
     root = str(tmp_path / "lake")
-    for extra in (False, False, True):
+    for number, extra in enumerate((False, False, True)):
         if extra:
             write(tmp_path / "in", "two.json", json.dumps(later))
-        snapshots.append_normalized(snapshots.read_raw(spark, str(tmp_path / "in")), root)
-    assert spark.read.parquet(f"{root}/station_status").count() == 4
-    assert spark.read.parquet(f"{root}/runs").count() == 2
+        assert lake.ingest(snapshots.read_documents(spark, str(tmp_path / "in")), root, f"b{number}")
+        assert not lake.ingest(snapshots.read_documents(spark, str(tmp_path / "in")), root, f"b{number}")
+    assert lake.read_rows(spark, root, "station_status").count() == 4
+    assert lake.read_runs(spark, root).count() == 2
 
 
 def test_history_files(spark, tmp_path):
@@ -116,21 +117,52 @@ def document(time, stations=(), bikes=None):
     return {"collected_at": time, "feeds": feeds}
 
 
-def test_repeated_and_late_documents_add_each_row_once(spark, tmp_path):
-    first, late = document("2024-01-01T00:00:00", ["a", "b"]), document("2024-01-01T00:00:00", ["b", "c"], ["v"])
+def test_repeated_late_and_split_documents_correct_the_run(spark, tmp_path):
+    first, late = document("2024-01-01T00:00:00", ["a", "b", None]), document("2024-01-01T00:00:00", ["b", "c", "d", "e"], ["v", None])
     landing, root = tmp_path / "in", str(tmp_path / "tables")
     landing.mkdir()
     for name, content in {"1": first, "2": first, "3": {"feeds": {}}}.items():
         (landing / f"{name}.json").write_text(json.dumps(content))
     (landing / "4.json").write_text("{ no json")
-    snapshots.append_normalized(snapshots.read_raw(spark, str(landing)), root)
-    assert spark.read.parquet(f"{root}/station_status").count() == 2 and spark.read.parquet(f"{root}/runs").count() == 1
-    assert {r["raw_path"][-6:] for r in snapshots.read_rejected(spark, str(landing)).collect()} == {"3.json", "4.json"}
+
+    def file(batch):
+        return lake.ingest(snapshots.read_documents(spark, str(landing)), root, batch)
+
+    def run():
+        return [(r.station_count, r.bikes_available, r.free_bike_count, r.raw_path[-6:]) for r in lake.read_runs(spark, root).collect()]
+
+    file("1")
+    assert lake.read_rows(spark, root, "station_status").count() == 2 and run() == [(2, 4, 0, "1.json")]
     (landing / "5.json").write_text(json.dumps(late))
-    for _ in range(2):
-        snapshots.append_normalized(snapshots.read_raw(spark, str(landing)), root)
-    assert sorted(r["station_id"] for r in spark.read.parquet(f"{root}/station_status").collect()) == ["a", "b", "c"]
-    assert spark.read.parquet(f"{root}/free_bikes").count() == 1 and spark.read.parquet(f"{root}/runs").count() == 1
+    for batch in ("2", "3"):
+        file(batch)
+        assert sorted(r["station_id"] for r in lake.read_rows(spark, root, "station_status").collect()) == ["a", "b", "c", "d", "e"]
+        assert lake.read_rows(spark, root, "free_bikes").count() == 1 and run() == [(5, 10, 1, "1.json")]
+    rejected = sorted((r.feed, r.reason, r.raw_path[-6:]) for r in lake.read_rows(spark, root, "rejected").collect())
+    assert rejected == [
+        ("document", "no time", "3.json"), ("document", "unreadable", "4.json"), ("free_bike_status", "no id", "5.json"),
+        ("station_status", "no id", "1.json"), ("station_status", "no id", "2.json"),
+    ]
+    told = {r["raw_path"][-6:] for r in snapshots.read_rejected(spark, str(landing)).collect()}
+    assert told == {"3.json", "4.json"}
+
+
+def test_a_batch_that_fails_half_way_leaves_nothing_to_be_seen(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps(document("2024-01-01T00:00:00", ["a", "b"], ["v"])))
+    docs, root = snapshots.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "tables")
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(lake, "_run_rows", lost)
+        with pytest.raises(RuntimeError):
+            lake.ingest(docs, root, "1")
+    assert spark.read.parquet(f"{root}/station_status").count() == 2
+    assert all(lake.read_rows(spark, root, n).isEmpty() for n in (*lake.KEYED, "rejected")) and lake.read_runs(spark, root).isEmpty()
+    lake.ingest(docs, root, "1")
+    assert lake.read_rows(spark, root, "station_status").count() == 2 and lake.read_runs(spark, root).first().station_count == 2
 
 
 def test_indented_documents_are_read_on_request(spark, tmp_path):

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stationflow.operators.area import Area
+from stationflow.sources import lake
 from stationflow.sources.snapshots import normalize_info, normalize_status, read_raw
 from stationflow.streaming.ingest import free_bike_stream, raw_stream, start_ingest, status_stream
 from stationflow.streaming.live import live_labels, live_runs
@@ -150,10 +151,11 @@ def test_labels_take_the_first_state_in_the_band(spark, tmp_path):
     assert set(found) == want and len(found) == len(want)
 
 
-def test_ingest_appends_each_snapshot_once(spark, tmp_path):
+def test_ingest_files_each_snapshot_once(spark, tmp_path):
     landing = land(tmp_path / "landing", ORDERS["in_order"])
     root = str(tmp_path / "lake")
     for attempt in ("one", "two"):  # a lost checkpoint means all files are read again
         start_ingest(spark, landing, root, str(tmp_path / attempt), 7).awaitTermination(120)
-    assert spark.read.parquet(f"{root}/runs").count() == SNAPSHOTS + 1
-    assert spark.read.parquet(f"{root}/station_status").count() == SNAPSHOTS * STATIONS + 1
+    assert lake.read_runs(spark, root).count() == SNAPSHOTS + 1
+    assert lake.read_rows(spark, root, "station_status").count() == SNAPSHOTS * STATIONS + 1
+    assert lake.commits(spark, root).count() == 8

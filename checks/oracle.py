@@ -426,7 +426,6 @@ def statements() -> dict[str, str]:
     nearest = f"""select station_id, name, region_id, num_bikes_available, {_RISK}, {whole("m")} as distance_m, lat, lon
         from live"""
     near_order = "order by distance_m, name, station_id limit 10"
-    status_feed = "cast(epoch(collected_at) as bigint) as feed_last_updated"
     features = """station_id, region_id, hour, weekday, is_weekend, bikes_now, docks_now, has_bike_now, empty_now,
         is_renting, is_returning, bikes_lag_5m, minutes_since_lag_5m, bikes_lag_15m, minutes_since_lag_15m,
         bikes_delta_5m, bikes_delta_15m, bikes_capacity_ratio, hour_sin, hour_cos, weekday_sin, weekday_cos,
@@ -436,15 +435,10 @@ def statements() -> dict[str, str]:
         cast(count_if(status = 'seen-again') as bigint) as known_destinations,
         cast(count_if(status = 'not-seen') as bigint) as open_departures"""
     return {
-        "normalize_status": f"""select collected_at, {status_feed}, station_id, num_bikes_available, num_docks_available,
-            is_renting, is_returning, last_reported, '[]' as vehicle_types_available from status""",
-        "normalize_info": """select s.collected_at as observed_at, cast(epoch(s.collected_at) as bigint)
-            as feed_last_updated, t.* from status s join station t using (station_id)""",
-        "normalize_free_bikes": f"""select collected_at, {status_feed}, bike_id, station_id, '{{}}' as rental_uris
-            from free_hourly""",
-        "run_rows": """select collected_at, cast(station_count as integer) as station_count,
-            cast(bikes_available as integer) as bikes_available,
-            cast(free_bike_count as integer) as free_bike_count from runs""",
+        "normalize_status": f"select collected_at, {_FEED_TIME}, {_STATUS_ROW} from status",
+        "normalize_info": f"select collected_at as observed_at, {_FEED_TIME}, {_INFO_ROW} from status join station using (station_id)",
+        "normalize_free_bikes": f"select collected_at, {_FEED_TIME}, {_BIKE_ROW} from free_hourly",
+        "run_rows": f"select strftime(collected_at, 'raw/%Y/%m/%d/%Y%m%dT%H%M%SZ.json') as raw_path, {_RUN_ROW} from runs",
         "collection_runs": "select * from runs",
         "latest_station_info": "select * from newest_info",
         "db_stats": f"""select count(*) as runs, min(collected_at) as first_collected_at,
@@ -682,6 +676,22 @@ def statements() -> dict[str, str]:
     }
 
 
+_FEED_TIME = "cast(epoch(collected_at) as bigint) as feed_last_updated"
+_N = "cast(station_id as bigint)"
+_K = "cast(bike_id as bigint)"
+_STATUS_ROW = f"""station_id, num_bikes_available, num_docks_available, {_N} % 13 <> 0 as is_installed, is_renting, is_returning, last_reported,
+    case when {_N} % 3 = 0 then case when num_bikes_available is null then '[{{"vehicle_type_id":"bike"}}]'
+    else '[{{"vehicle_type_id":"bike","count":' || num_bikes_available || '}}]' end else '[]' end as vehicle_types_available"""
+_INFO_ROW = f"""station_id, name, short_name, lat, lon, region_id,
+    case when {_N} % 7 <> 0 then {_N} % 19 = 0 end as is_virtual_station, capacity"""
+_BIKE_ROW = f"""bike_id, {_K} % 5 = 0 as is_reserved, case when {_K} % 11 <> 0 then {_K} % 7 = 0 end as is_disabled,
+    49 + ({_K} % 100) * 0.001e0 as lat, 16 + ({_K} % 90) * 0.001e0 as lon, 'type-' || {_K} % 3 as vehicle_type_id, station_id,
+    case when {_K} % 2 = 0 then 'plan-' || {_K} % 4 end as pricing_plan_id,
+    case when {_K} % 4 = 0 then '{{"ios":"app://' || bike_id || '"}}' else '{{}}' end as rental_uris"""
+_RUN_ROW = """collected_at, cast(station_count as integer) as station_count, cast(bikes_available as integer) as bikes_available,
+    cast(free_bike_count as integer) as free_bike_count"""
+
+
 def stream_statements() -> dict[str, str]:
     """What a stream must give out once all snapshots have landed; the marker snapshot is never passed."""
     return {
@@ -690,6 +700,17 @@ def stream_statements() -> dict[str, str]:
             {big("count_if(num_bikes_available = 0)")} as empty_stations,
             round(avg(num_bikes_available), 2) as avg_bikes_per_station,
             max(num_bikes_available) as max_bikes_at_station from status group by 1""",
+        "stream_deduplicated": f"select collected_at, {_FEED_TIME}, {_STATUS_ROW} from status",
+        "ingest_status": f"select collected_at, {_FEED_TIME}, {_STATUS_ROW} from status",
+        "ingest_info": f"select collected_at as observed_at, {_FEED_TIME}, {_INFO_ROW} from status join station using (station_id)",
+        "ingest_free_bikes": f"select collected_at, {_FEED_TIME}, {_BIKE_ROW} from free_hourly",
+        "ingest_runs": f"select {_RUN_ROW} from runs",
+        "ingest_rejected": """select distinct feed, reason, case when reason = 'no id' then t end as collected_at,
+            case reason when 'no id' then '{"num_docks_available":7}' when 'no time' then '{"feeds":{}}'
+            else '{"collected_at": "' || strftime(t, '%Y-%m-%d') end as document
+            from (select distinct collected_at as t from (select collected_at from status union all
+                select collected_at from free_hourly) where hour(collected_at) = 6),
+            (values ('station_status', 'no id'), ('document', 'unreadable'), ('document', 'no time')) as k(feed, reason)""",
         "stream_depletions": """select station_id, collected_at from (select station_id, collected_at,
             num_bikes_available as n, lag(num_bikes_available) over (partition by station_id order by collected_at) as b
             from status) where b > 0 and n = 0""",

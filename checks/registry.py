@@ -146,20 +146,12 @@ def _predict(t: Tables) -> DataFrame:
     return models.predict_latest_risk(model, _latest_features(t))
 
 
-def _normal(t: Tables, f: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
-    return f(t.raw).select(*columns)
-
-
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # snapshots and stations
-    "normalize_status": lambda t: snapshots.normalize_status(t.raw).drop("is_installed"),
-    "normalize_info": lambda t: snapshots.normalize_info(t.raw).drop("is_virtual_station"),
-    "normalize_free_bikes": lambda t: _normal(
-        t,
-        snapshots.normalize_free_bikes,
-        ["collected_at", "feed_last_updated", "bike_id", "station_id", "rental_uris"],
-    ),
-    "run_rows": lambda t: snapshots.run_rows(t.raw).drop("raw_path"),
+    "normalize_status": lambda t: snapshots.normalize_status(t.raw),
+    "normalize_info": lambda t: snapshots.normalize_info(t.raw),
+    "normalize_free_bikes": lambda t: snapshots.normalize_free_bikes(t.raw),
+    "run_rows": lambda t: snapshots.add_parts(snapshots.run_rows(t.raw)),
     "collection_runs": lambda t: t.runs,
     "latest_station_info": lambda t: stations.latest_station_info(t.info),
     "db_stats": lambda t: stations.db_stats(t.runs, t.status),

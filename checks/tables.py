@@ -19,6 +19,8 @@ from stationflow.session import settle
 ORIGIN = (49.199088, 16.607361)
 RADIUS_M = 1600
 TZ = "Europe/Prague"
+#: Stations, or vehicles, that one snapshot document holds, about.
+DOCUMENT_ROWS = 20
 
 
 _KNOWN: dict[tuple[str, str], Tables] = {}
@@ -157,37 +159,59 @@ class Tables:
         )
 
     @cached_property
+    def parts(self) -> int:
+        """Documents a snapshot is cut into, so that none holds many more rows than ``DOCUMENT_ROWS`` at any scale."""
+        rows = [d.groupBy("collected_at").count() for d in (self.status, self.free_hourly)]
+        most = rows[0].union(rows[1]).agg(F.max("count")).first()[0] or 0
+        return max(1, -(-most // DOCUMENT_ROWS))
+
+    def _in_parts(self, df: DataFrame, key: str, entry, name: str) -> DataFrame:
+        cut = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int"))
+        return cut.groupBy("collected_at", "part").agg(F.collect_list(entry).alias(name))
+
+    @stored
     def raw(self) -> DataFrame:
-        """Snapshot documents made from the hourly tables, as JSON text parsed back."""
+        """Snapshot documents made from the hourly tables, as JSON text parsed back: parts of a snapshot, dealt by id, with all
+        fields of every feed."""
         from stationflow.sources.schemas import FEEDS
 
+        number = F.col("station_id").cast("long")
+        kinds = F.array(F.struct(F.lit("bike").alias("vehicle_type_id"), F.col("num_bikes_available").alias("count")))
+        station = F.struct(
+            "station_id", "num_bikes_available", "num_docks_available", (number % 13 != 0).alias("is_installed"), "is_renting", "is_returning",
+            "last_reported", F.when(number % 3 == 0, kinds).alias("vehicle_types_available"),
+        )
+        place = F.struct(
+            "station_id", "name", "short_name", "lat", "lon", "region_id", F.when(number % 7 != 0, number % 19 == 0).alias("is_virtual_station"),
+            "capacity",
+        )
+        vehicle = F.col("bike_id").cast("long")
+        bike = F.struct(
+            "bike_id", (vehicle % 5 == 0).alias("is_reserved"), F.when(vehicle % 11 != 0, vehicle % 7 == 0).alias("is_disabled"),
+            (49 + (vehicle % 100) * 0.001).alias("lat"), (16 + (vehicle % 90) * 0.001).alias("lon"),
+            F.concat(F.lit("type-"), (vehicle % 3).cast("string")).alias("vehicle_type_id"), "station_id",
+            F.when(vehicle % 2 == 0, F.concat(F.lit("plan-"), (vehicle % 4).cast("string"))).alias("pricing_plan_id"),
+            F.when(vehicle % 4 == 0, F.struct(F.concat(F.lit("app://"), "bike_id").alias("ios"))).alias("rental_uris"),
+        )
         named = self.status.join(self.stations, "station_id")
-        stations = F.collect_list(
-            F.struct(
-                "station_id",
-                "num_bikes_available",
-                "num_docks_available",
-                "is_renting",
-                "is_returning",
-                "last_reported",
-            )
-        )
-        info = F.collect_list(F.struct("station_id", "name", "short_name", "lat", "lon", "region_id", "capacity"))
-        per_hour = named.groupBy("collected_at").agg(stations.alias("s"), info.alias("i"))
-        bikes = self.free_hourly.groupBy("collected_at").agg(F.collect_list(F.struct("bike_id", "station_id")).alias("b"))
-        updated = floor_div(epoch_us(per_hour, "collected_at"), SECOND_US).alias("last_updated")
+        stations = self._in_parts(named, "station_id", F.struct(station.alias("s"), place.alias("i")), "rows")
+        bikes = self._in_parts(self.free_hourly, "bike_id", bike, "b")
+        joined = stations.join(bikes, ["collected_at", "part"], "full")
+        updated = floor_div(epoch_us(joined, "collected_at"), SECOND_US).alias("last_updated")
 
-        def feed(column: str, items: str):
-            return F.struct(updated, F.struct(F.col(column).alias(items)).alias("data"))
+        def feed(items: str, entries):
+            return F.struct(updated, F.struct(entries.alias(items)).alias("data"))
 
-        docs = per_hour.join(bikes, "collected_at", "left").select(
+        docs = joined.select(
             "collected_at",
+            "part",
             F.to_json(
                 F.struct(
-                    feed("s", "stations").alias("station_status"),
-                    feed("i", "stations").alias("station_information"),
-                    feed("b", "bikes").alias("free_bike_status"),
+                    feed("stations", F.col("rows.s")).alias("station_status"),
+                    feed("stations", F.col("rows.i")).alias("station_information"),
+                    feed("bikes", F.col("b")).alias("free_bike_status"),
                 )
             ).alias("text"),
         )
-        return docs.select("collected_at", F.from_json("text", FEEDS).alias("feeds"))
+        path = F.date_format("collected_at", "'raw/'yyyy/MM/dd/yyyyMMdd'T'HHmmss'Z.json'")
+        return docs.select("collected_at", "part", path.alias("raw_path"), F.from_json("text", FEEDS).alias("feeds"))

@@ -10,7 +10,8 @@ count once. Run rows are reduced from the rows held, so a snapshot that comes in
 batch writes the run rows of the times it touches anew, and of a time's run rows the newest is read. Only date folders that a batch
 touches are looked at. Batches of one root must follow each other; two at once could both take themselves for the first.
 
-What can't be filed goes to ``rejected``: documents that are no JSON or have no time, and rows without an id.
+What can't be filed goes to ``rejected``: documents that are no JSON or have no time, and rows without an id; of equal ones in
+one file one stays.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -15,10 +16,30 @@ REMEMBERED_CHARS = 64
 REMEMBERED_CHUNKS = 300_000
 
 
+#: Size of an Arrow batch, in bytes and rows.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of a few MB, so that a Python worker's memory does not depend on how long texts are. What the cluster's own
+    configuration says about them stays."""
+    for name, value in BATCH.items():
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, value)
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine; workers live on, and the allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character left alone.
 
@@ -82,8 +103,12 @@ def on_batches(start: Callable[[], Callable[[Sequence[str]], list]], kind: pa.Da
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         handle = start()
-        for texts in batches:
-            yield pa.array(handle([t or "" for t in texts.to_pylist()]), type=kind)
+        try:
+            for texts in batches:
+                yield pa.array(handle([t or "" for t in texts.to_pylist()]), type=kind)
+        finally:
+            del handle
+            release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)

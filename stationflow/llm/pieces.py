@@ -3,7 +3,7 @@
 The model's protobuf is read here, and its normaliser, white-space marker, scores and byte fallback are rebuilt as a
 tokenizers pipeline: a unigram model keeps its scores, a BPE model's scores become the order of its merges. No
 piece of such a model has the marker behind another character, so a text's ids are those of its parts between
-markers. Parts are encoded in batches over threads, once each, and each new part is compared with the
+markers. Chunks of texts are encoded in batches over threads, and each whole text's ids are compared with those of the
 sentencepiece library. Where the two differ (long runs of spaces, whose pieces all have one score, which the order of
 merges can't express) its ids are taken and the text is marked.
 """
@@ -15,18 +15,25 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.llm.common import REMEMBERED_CHARS, REMEMBERED_CHUNKS, on_batches
+from stationflow.llm.common import on_batches
 
 MARK = "▁"
 # Kinds of pieces and of models in the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
+#: Characters encoded at a time; longer pieces of work gain nothing.
+CHUNK = 4000
+#: Texts up to so many characters are compared as a whole, longer ones chunk by chunk.
+WHOLE = 1 << 20
+#: Texts whose ids are Python lists at a time.
+TEXTS = 64
 #: Threads a task encodes with; Spark's tasks already use every core of an executor.
 THREADS = 2
 
@@ -149,7 +156,6 @@ class Codec:
         #: A text may be cut before a marker unless a piece, or the character map, could reach over it.
         self.cuts = not inside and not self.model.charsmap and not self.model.squeeze
         self.tokenizer = build(self.model, self.model.dummy_prefix and not self.cuts)
-        self.known: dict[str, tuple[bytes, bool]] = {}
         self.bytes_of = [self._raw(*piece) for piece in self.model.pieces]
 
     def _raw(self, text: str, _score: float, kind: int) -> bytes:
@@ -157,51 +163,43 @@ class Codec:
             return bytes([int(text[1:-1], 16)])
         return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else text.replace(MARK, " ").encode()
 
-    def parts(self, text: str) -> list[str]:
-        """The text's parts, each with the space before it; all of it as one where it can't be cut."""
+    def chunks(self, text: str) -> list[str]:
+        """The text in chunks of about ``CHUNK`` characters, each with the spaces before it; whole where it can't be cut."""
         if not text:
             return []
         if not self.cuts:
             return [text]
         whole = f" {text}" if self.model.dummy_prefix else text
-        if MARK in text:
-            return [whole]
-        head, *rest = whole.split(" ")
-        out, spaces = [head] if head else [], ""
-        for word in rest:  # a run of spaces stays before the word that follows it
-            spaces += " "
-            if word:
-                out.append(spaces + word)
-                spaces = ""
-        return [*out, spaces] if spaces else out
+        out, start = [], 0
+        while MARK not in text and len(whole) - start > CHUNK:
+            at = whole.find(" ", start + CHUNK)
+            while at > 0 and whole[at - 1] == " ":  # a run of spaces stays before the word that follows it
+                at = whole.find(" ", at + 1)
+            if at < 0:
+                break
+            out.append(whole[start:at])
+            start = at
+        return [*out, whole[start:]]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Per text its ids as little-endian unsigned 32-bit numbers, and whether sentencepiece gives the same."""
-        cut = [self.parts(t) for t in texts]
-        new = list(dict.fromkeys(p for ps in cut for p in ps if p not in self.known))
-        if len(self.known) + len(new) > REMEMBERED_CHUNKS:
-            self.known.clear()
-            new = list(dict.fromkeys(p for ps in cut for p in ps))
-        for at in range(0, len(new), 4096):
-            self._learn(new[at : at + 4096])
+        cut = [self.chunks(t) for t in texts]
+        encoded = iter(self.tokenizer.encode_batch_fast([c for cs in cut for c in cs], add_special_tokens=False))
+        expected = self.original.encode([t if len(t) <= WHOLE else "" for t in texts], num_threads=THREADS)
         out = []
-        for ps in cut:
-            got = [self.known[p] for p in ps]
-            out.append((b"".join([ids for ids, _ in got]), all([same for _, same in got])))
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                self.known.pop(p, None)
+        for text, chunks, right in zip(texts, cut, expected):
+            got = list(chain.from_iterable(next(encoded).ids for _ in chunks))
+            if len(text) > WHOLE:
+                right = self._in_chunks(chunks)
+            same = got == right
+            out.append((np.array(got if same else right, "<u4").tobytes(), same))
         return out
 
-    def _learn(self, parts: list[str]) -> None:
-        """Encode new parts over threads and compare them. sentencepiece puts its own dummy prefix before a part, so the
-        space that a part begins with is taken off for it; the prefix alone it would leave out."""
-        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        bare = [p[1:] for p in parts] if self.cuts and self.model.dummy_prefix else parts
-        expected = self.original.encode(bare, num_threads=THREADS)
-        for part, got, right in zip(parts, encoded, expected):
-            same = got.ids == right or part == " "
-            self.known[part] = np.array(got.ids if same else right, "<u4").tobytes(), same
+    def _in_chunks(self, chunks: list[str]) -> list[int]:
+        """What sentencepiece makes of a very long text, chunk by chunk. It puts its own dummy prefix before a chunk, so the space
+        that one begins with is taken off for it."""
+        bare = [c[1:] for c in chunks] if self.cuts and self.model.dummy_prefix else chunks
+        return list(chain.from_iterable(map(self.original.encode, bare)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the dummy prefix is taken off, bytes that are no text become U+FFFD."""
@@ -223,8 +221,8 @@ def encoded(text: Column, path: str) -> Column:
 
         def handle(texts: list[str]) -> list[dict]:
             out = []
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
+            for at in range(0, len(texts), TEXTS):
+                part = texts[at : at + TEXTS]
                 for text, (ids, same) in zip(part, code.encode(part)):
                     fits = code.decode(ids) == text
                     out.append({"ids": np.frombuffer(ids, "<i4"), "ids_crc32": zlib.crc32(ids), "parity": same, "round_trip": fits})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from stationflow.llm import (
     chat, contamination, fim, lexical, licenses, pieces, quality, secrets, simhash, sketches, sql, token_store, toxicity, urls,
 )
-from stationflow.llm.common import table
+from stationflow.llm.common import bounded_batches, table
 
 
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +95,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_url_filter, op2_token_output, op3_simhash, op4_licenses, op5_sentencepiece, op6_decontamination, op7_fingerprints,
         op8_toxicity, op9_secrets, op10_quality, op11_fill_in_middle, op12_chat_format, op13_ranked_search,
     )
-    return {f.__name__: f for f in made}
+
+    def bounded(query):
+        @wraps(query)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            bounded_batches(spark)
+            return query(spark, folder)
+
+        return run
+
+    return {f.__name__: bounded(f) for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

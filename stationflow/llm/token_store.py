@@ -13,6 +13,8 @@ the chunks (one byte each), the bitmap (one bit per entry, lowest first, to whol
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -120,8 +122,8 @@ class WordEncoder:
     """Whole-text ids of a tokenizer whose pre-tokenizer never joins what white space divides.
 
     Such a text's ids are those of its parts between spaces, so parts are encoded once and remembered. A word of Latin-1
-    letters is remembered in lower case and without the marks behind it, which the pre-tokenizer parts from it anyway; one of
-    plain ASCII letters goes to the vocabulary's model directly.
+    letters is remembered in lower case and without the marks behind it, which the pre-tokenizer parts from it anyway, and goes to
+    the vocabulary's model directly, its bytes spelled as the vocabulary spells them.
     """
 
     def __init__(self, path: str):
@@ -129,21 +131,42 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.stems = Remembered(self._stem)
         self.parts = Remembered(self._part)
+        self.spelling = self._spellings()
+        #: Words whose letters the model can be given.
+        self.plain = re.compile(f"[a-z{''.join(map(chr, self.spelling))}]+").fullmatch
+
+    def _spellings(self) -> dict[int, str]:
+        """How the vocabulary spells each lower-case Latin-1 letter beyond ASCII; only of those for which the model by itself gives the
+        ids that the whole tokenizer gives."""
+        from tokenizers import pre_tokenizers
+
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0xAA, 0x100)) if c.isalpha() and c.lower() == c]
+        spelled = {c: "".join(part for part, _ in level.pre_tokenize_str(c)) for c in letters}
+        words = {c: (c, f"a{c}", f"{c}b", f"re{c}{c}te") for c in letters}
+
+        def agrees(c: str) -> bool:
+            return all([t.id for t in self.model.tokenize(w.replace(c, spelled[c]))] == self._whole(w) for w in words[c])
+
+        return {ord(c): spelled[c] for c in letters if agrees(c)}
 
     def _stem(self, stem: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(stem)] if stem.isascii() else self._whole(stem)
-        return np.array(ids, "<u4").tobytes()
+        spelled = stem if stem.isascii() else stem.translate(self.spelling)
+        return self._bytes([t.id for t in self.model.tokenize(spelled)])
 
     def _whole(self, part: str) -> list[int]:
         return self.tokenizer.encode(part, add_special_tokens=False).ids
 
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _part(self, part: str) -> bytes:
-        if part.isascii() or max(part) < "\u0100":
-            stem = part.rstrip(".,")
-            if stem.isalpha():
-                end = part[len(stem) :]
-                return self.stems[stem.lower()] + (self.parts[end] if end else b"")
-        return np.array(self._whole(part), "<u4").tobytes()
+        bare = part.rstrip(".,")
+        stem = bare.lower()
+        if not self.plain(stem):
+            return self._bytes(self._whole(part))
+        return self.stems[stem] if len(bare) == len(part) else self.stems[stem] + self.parts[part[len(bare) :]]
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""

@@ -119,6 +119,7 @@ class Area:
             self.depletions()
             .groupBy(hour_label(F.col("us"), self.tz).alias("local_hour"))
             .agg(F.count(F.lit(1)).alias("depletion_events"))
+            .orderBy(F.col("depletion_events").desc(), "local_hour")
         )
 
     def morning_signals(self) -> DataFrame:

@@ -8,12 +8,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.functions.clock import MINUTE_US, epoch_us, hour_label, minutes_between, month_label, time_like
+from stationflow.functions.clock import epoch_us, hour_label, minutes_between, month_label, time_like
 from stationflow.functions.geo import distance_m, whole_metres
 from stationflow.functions.rules import require, require_point, round_to
 from stationflow.operators.history import station_catalog, with_distance
-from stationflow.plans.reach import around, home_rows, spread
+from stationflow.plans.bins import ROWS_PER_BIN, day_cuts, in_bins
 from stationflow.plans.restrict import restrict
+from stationflow.plans.twolevel import previous_and_last
 from stationflow.session import settle
 
 FLOW_MORNING = ("05:00", "10:00")  # fixed value: hours of the morning totals, both ends included
@@ -30,9 +31,8 @@ def bike_uid_events(changes: DataFrame) -> DataFrame:
 class Flows:
     """Station changes of vehicles within a time window, and their direction across a radius.
 
-    The window bounds how far back the preceding sighting may lie, so sightings are windowed in time
-    slots and a vehicle seen in a large part of all rows is spread over many tasks. Station names and
-    distances join only the moves that remain.
+    Sightings are windowed in bins of even size along each vehicle's time, so one that is seen in a large part of all rows
+    is spread over many tasks. Station names and distances join only the moves that remain.
     """
 
     changes: DataFrame
@@ -42,6 +42,7 @@ class Flows:
     max_window_minutes: int = 720
     tz: str = "Europe/Prague"
     catalog: DataFrame | None = None
+    rows_per_bin: int = ROWS_PER_BIN
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
@@ -55,13 +56,10 @@ class Flows:
         unplaced = self.catalog.where("latitude is null or longitude is null")
         seen = bike_uid_events(restrict(self.changes, "nuid", unplaced, keep=False))
         seen = seen.select("bike_uid", "nuid", epoch_us(seen, "timestamp").alias("us"))
-        reach = (self.max_window_minutes + 1) * MINUTE_US
-        spaced = spread(seen, F.col("us"), back_us=reach, ahead_us=0)
-        track = around(["bike_uid"], "us", "nuid")
-        before = F.lag(F.struct("us", "nuid")).over(track)
-        paired = home_rows(spaced.withColumn("prev", before)).withColumn(
-            "window_minutes", minutes_between(F.col("prev.us"), F.col("us"))
-        )
+        cuts = day_cuts(seen, ["bike_uid"], "us", self.rows_per_bin)
+        binned = in_bins(seen, ["bike_uid"], "us", cuts)
+        tracks, _ = previous_and_last(binned, ["bike_uid"], "us", ["us", "nuid"], "prev", ties=["nuid"])
+        paired = tracks.withColumn("window_minutes", minutes_between(F.col("prev.us"), F.col("us")))
         moved = paired.where((F.col("nuid") != F.col("prev.nuid")) & (F.col("window_minutes") <= self.max_window_minutes))
         here = stations.select("nuid", "station_name", "latitude", "longitude", "distance_m")
         there = here.select(*[F.col(c).alias(f"prev_{c}") for c in here.columns])
@@ -120,7 +118,8 @@ class Flows:
 
     def origins(self) -> DataFrame:
         left = self._outbound().groupBy(F.col("prev_nuid").alias("nuid"), F.col("prev_name").alias("station_name"))
-        return left.agg(F.max("prev_distance_m").alias("distance_m"), F.count(F.lit(1)).alias("outbound"))
+        counted = left.agg(F.max("prev_distance_m").alias("distance_m"), F.count(F.lit(1)).alias("outbound"))
+        return counted.orderBy(F.col("outbound").desc(), F.col("station_name").asc_nulls_last(), "nuid")
 
     def summary(self) -> DataFrame:
         """Counted per vehicle first, so the distinct count needs no second pass over the moves."""

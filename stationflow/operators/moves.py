@@ -8,12 +8,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationflow.functions.clock import MINUTE_US, epoch_us, hour_label, minute_label, minutes_between
+from stationflow.functions.clock import epoch_us, hour_label, minute_label, minutes_between
 from stationflow.functions.geo import distance_m, whole_metres
 from stationflow.functions.rules import require, require_point, round_to
 from stationflow.operators.area import area_stations_table
-from stationflow.plans.reach import around, home_rows, spread
-from stationflow.plans.twolevel import with_previous
+from stationflow.plans.bins import ROWS_PER_BIN, day_cuts, in_bins
+from stationflow.plans.twolevel import previous_and_last
 from stationflow.session import settle
 
 SEEN = ["collected_at", "us", "station_id", "lat", "lon"]
@@ -59,6 +59,7 @@ class Movements:
     open_after_minutes: int = 3
     min_move_m: int = 100
     tz: str = "Europe/Prague"
+    rows_per_bin: int = ROWS_PER_BIN
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
@@ -76,6 +77,13 @@ class Movements:
     def sightings(self) -> DataFrame:
         return self.free.select("bike_id", "collected_at", epoch_us(self.free, "collected_at").alias("us"), *SEEN[2:])
 
+    @cached_property
+    def _tracks(self) -> tuple[DataFrame, DataFrame]:
+        """Sightings with the one before, and each vehicle's last sighting, from one pass over the sightings in bins of even size."""
+        cuts = day_cuts(self.sightings, ["bike_id"], "us", self.rows_per_bin)
+        binned = in_bins(self.sightings, ["bike_id"], "us", cuts)
+        return previous_and_last(binned, ["bike_id"], "us", SEEN, "prev", ties=["station_id"])
+
     def _place(self, rows: DataFrame, id_column: str, prefix: str) -> DataFrame:
         """Add name and distance of a station id; ids unknown to the table keep their id as name."""
         places = self.stations.select(
@@ -88,7 +96,7 @@ class Movements:
 
     def observations(self) -> DataFrame:
         """Every sighting with the one before it, however long ago."""
-        paired = with_previous(self.sightings, ["bike_id"], "us", SEEN, "prev", ties=["station_id"])
+        paired, _ = self._tracks
         flat = paired.withColumns({f"previous_{c}": F.col(f"prev.{c}") for c in SEEN}).withColumns(
             {
                 "window_minutes": minutes_between(F.col("previous_us"), F.col("us")),
@@ -121,12 +129,9 @@ class Movements:
     @cached_property
     def _recent_pairs(self) -> DataFrame:
         """Sightings with the one before, where that lies within the window."""
-        reach = (self.max_window_minutes + 1) * MINUTE_US
-        spaced = spread(self.sightings, F.col("us"), back_us=reach, ahead_us=0)
-        before = F.lag(F.struct(*SEEN)).over(around(["bike_id"], "us", "station_id"))
-        paired = home_rows(spaced.withColumn("prev", before)).where("prev is not null")
+        paired, _ = self._tracks
         timed = paired.withColumn("window_minutes", minutes_between(F.col("prev.us"), F.col("us")))
-        return timed.where(F.col("window_minutes") <= self.max_window_minutes)
+        return timed.where(F.col("prev").isNotNull() & (F.col("window_minutes") <= self.max_window_minutes))
 
     def _seen_again(self, pairs: DataFrame) -> DataFrame:
         rows = pairs.select(
@@ -145,22 +150,19 @@ class Movements:
 
     def _not_seen(self) -> DataFrame:
         """Last sightings at a station in the radius that are old enough to count as departed."""
-        now_us = self.sightings.agg(F.max("us").alias("us")).scalar()
-        per_place = self.sightings.groupBy("bike_id", "station_id").agg(
-            F.max("us").alias("us"), F.max("collected_at").alias("collected_at")
-        )
-        last = per_place.groupBy("bike_id").agg(F.max(F.struct("us", "station_id", "collected_at")).alias("s"))
-        age = minutes_between(F.col("s.us"), now_us)
-        old = last.where("s.station_id is not null").where(age >= self.open_after_minutes)
+        _, last = self._tracks
+        now_us = last.agg(F.max("us").alias("us")).scalar()
+        age = minutes_between(F.col("us"), now_us)
+        old = last.where("station_id is not null").where(age >= self.open_after_minutes)
         null = F.lit(None)
         rows = old.select(
             F.lit("not-seen").alias("status"),
-            F.col("s.collected_at").alias("departed_after"),
+            F.col("collected_at").alias("departed_after"),
             null.cast(dict(self.free.dtypes)["collected_at"]).alias("next_seen_at"),
-            minute_label(F.col("s.us"), self.tz).alias("local_departed_after"),
-            F.col("s.us").alias("departed_us"),
+            minute_label(F.col("us"), self.tz).alias("local_departed_after"),
+            F.col("us").alias("departed_us"),
             "bike_id",
-            F.col("s.station_id").alias("from_station_id"),
+            F.col("station_id").alias("from_station_id"),
             null.cast("string").alias("to_station_id"),
             F.lit("not seen again").alias("to_name"),
             null.cast("int").alias("to_origin_distance_m"),

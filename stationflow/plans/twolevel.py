@@ -1,8 +1,8 @@
 """Unbounded lag, rank and running sums in two levels.
 
 A plain window over one key puts all rows of the key in one task. Here the rows are windowed inside
-(key, bin), and one summary row per (key, bin) is windowed per key; joining the two gives the same
-result. Bins are days, score bands or index blocks, so the second level is a tiny table.
+(key, bin), and what one bin owes the next, a row or two per (key, bin), is windowed per key. Bins are days, measured cuts
+(``plans/bins.py``), score bands or index blocks, so the second level is a tiny table.
 """
 
 from __future__ import annotations
@@ -11,14 +11,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationflow.functions.clock import DAY_US, floor_div
+from stationflow.plans.bins import BIN
 
-BIN = "_bin"
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, [*keys, BIN], "left")
 
 
+def previous_and_last(
+    df: DataFrame, keys: list[str], us: str, carry: list[str], out: str, ties: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that carry a ``BIN`` with ``out``, a struct of ``carry`` from the preceding row of the same key (NULL for the first),
+    and the last row of each key.
+
+    Rows are windowed inside (keys, bin). The first and last rows of the bins, two for each, are windowed per key: there a bin's
+    first row finds the last one of the bin before. All parts read the same exchange, so ``df`` is read and dealt once.
+    Keys must not be NULL. ``ties`` orders rows of equal time.
+    """
+    order = [us, *(ties or [])]
+    here = Window.partitionBy(*keys, BIN).orderBy(*order)
+    chain = Window.partitionBy(*keys).orderBy(*order)
+    before = F.lag(F.struct(*carry))
+    inside = df.withColumns({out: before.over(here), "_ends": F.lead(F.lit(1)).over(here).isNull()})
+    edges = inside.where(F.col(out).isNull() | F.col("_ends")).withColumns(
+        {"_edge": before.over(chain), "_final": F.lead(F.lit(1)).over(chain).isNull()}
+    )
+    firsts = edges.where(F.col(out).isNull()).withColumn(out, F.col("_edge"))
+    kept = [*[c for c in df.columns if c != BIN], out]
+    paired = inside.where(F.col(out).isNotNull()).select(*kept).unionByName(firsts.select(*kept))
+    return paired, edges.where("_final").select(*kept[:-1])
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
@@ -28,23 +52,10 @@ def with_previous(
     ties: list[str] | None = None,
     bin_us: int = DAY_US,
 ) -> DataFrame:
-    """Add ``out``: a struct of ``carry`` from the preceding row of the same key, NULL for the first.
-
-    Keys must not be NULL. ``ties`` orders rows of equal time.
-    """
-    order = [us, *(ties or [])]
+    """Add ``out``: a struct of ``carry`` from the preceding row of the same key, NULL for the first; bins are spans of time of
+    one length, so a key should have a bounded number of rows in each."""
     binned = df.withColumn(BIN, floor_div(F.col(us), bin_us))
-    others = [c for c in carry if c != us]
-    if len(others) <= 1 and not ties:
-        # one value at the latest time: a hash aggregate, where a struct would need a sort
-        picked = [F.max(us) if c == us else F.max_by(c, us) for c in carry]
-        last = F.struct(*[p.alias(c) for p, c in zip(picked, carry)])
-    else:
-        last = F.max(F.struct(*order, F.struct(*carry).alias("_row")))["_row"]
-    edges = binned.groupBy(*keys, BIN).agg(last.alias("_last"))
-    edge = edges.select(*keys, BIN, F.lag("_last").over(Window.partitionBy(*keys).orderBy(BIN)).alias("_edge"))
-    inside = binned.withColumn(out, F.lag(F.struct(*carry)).over(Window.partitionBy(*keys, BIN).orderBy(*order)))
-    return _join(inside, edge, keys).withColumn(out, F.coalesce(out, "_edge")).drop(BIN, "_edge")
+    return previous_and_last(binned, keys, us, carry, out, ties)[0]
 
 
 def with_running_sums(

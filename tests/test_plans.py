@@ -10,10 +10,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stationflow.functions.clock import DAY_US, HOUR_US, floor_div
+from stationflow.plans.bins import BIN, day_cuts, in_bins
 from stationflow.plans.carry import Grid, on_ticks, states, totals_per_tick
 from stationflow.plans.reach import around, home_rows, spread
 from stationflow.plans.restrict import restrict
-from stationflow.plans.twolevel import with_previous, with_running_sums
+from stationflow.plans.twolevel import previous_and_last, with_previous, with_running_sums
 
 T0 = 1_700_000_000_000_000
 
@@ -35,6 +36,46 @@ def test_previous_row_equals_plain_lag(spark, bin_us):
     assert ours.select("k", "us", "v", "p").exceptAll(plain.select("k", "us", "v", "p")).isEmpty()
 
 
+def crowded_rows(spark):
+    """Half of all rows are of one key within an hour, many of them at equal times."""
+    rng = random.Random(4)
+    rows = [(0, T0 + rng.randrange(3600) * 1_000_000 + rng.choice([0, 0, 7]), rng.randrange(9)) for _ in range(1500)]
+    rows += [(rng.randrange(1, 5), T0 + rng.randrange(40 * DAY_US), rng.randrange(9)) for _ in range(1500)]
+    return spark.createDataFrame(sorted(set(rows)), "k int, us long, v int")
+
+
+@pytest.mark.parametrize("most", [1, 25, 10**6])
+def test_measured_bins_are_even_and_give_previous_and_last_rows(spark, most):
+    df = crowded_rows(spark)
+    binned = in_bins(df, ["k"], "us", day_cuts(df, ["k"], "us", most)).cache()
+    in_a_second = df.groupBy("k", floor_div(F.col("us"), 1_000_000)).count().agg(F.max("count")).first()[0]
+    largest = binned.groupBy("k", BIN).count().agg(F.max("count")).first()[0]
+    assert binned.count() == df.count() and largest < most + in_a_second
+    bins = binned.groupBy("k", BIN).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    later = F.lag("last").over(Window.partitionBy("k").orderBy(BIN))
+    assert bins.withColumn("before", later).where("before >= first").isEmpty()
+    paired, last = previous_and_last(binned, ["k"], "us", ["us", "v"], "p", ties=["v"])
+    order = Window.partitionBy("k").orderBy("us", "v")
+    plain = df.withColumns({"p": F.lag(F.struct("us", "v")).over(order), "e": F.lead("us").over(order).isNull()})
+    assert paired.count() == df.count()
+    assert paired.select("k", "us", "v", "p").exceptAll(plain.select("k", "us", "v", "p")).isEmpty()
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, plain.where("e").select("k", "us", "v").collect()))
+
+
+def test_vehicles_are_read_once(spark, tmp_path):
+    """Pairs and last sightings come from one exchange of the sightings, besides the count of rows per day."""
+    df = crowded_rows(spark)
+    df.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    cuts = day_cuts(rows, ["k"], "us", 50)
+    paired, last = previous_and_last(in_bins(rows, ["k"], "us", cuts), ["k"], "us", ["us", "v"], "p", ties=["v"])
+    both = paired.select("k", "us").unionByName(last.select("k", "us"))
+    both.collect()
+    final = both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    scans = [line for line in final.splitlines() if "FileScan" in line and "us#" in line]
+    assert len(scans) == 1 and "ReusedExchange" in final
+
+
 def test_previous_row_without_key(spark):
     df = hot_rows(spark).dropDuplicates(["us"])
     plain = df.withColumn("p", F.lag(F.struct("us")).over(Window.orderBy("us")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 
+from checks.lake import FILE_DAYS
 from checks.registry import (
     AREA_MINUTES,
     AS_OF,
@@ -17,6 +18,7 @@ from checks.registry import (
     CITY_MINUTES,
     GAP_SECONDS,
     HOUR,
+    PLAIN_STRATEGIES,
     SPANS,
 )
 from checks.streams import HORIZON, MAX_DELAY, STREAM_GAP_SECONDS, STREAM_WINDOW
@@ -676,6 +678,48 @@ def statements() -> dict[str, str]:
     }
 
 
+def file_statements() -> dict[str, str]:
+    """Files of five days: every fourth one is new at the second taking, and those that lacked stations have changed."""
+    return {
+        "history_pickup": f"""select number, case when n % 4 = 3 or (n % 2 = 0 and lacking > 0) then 2 else 1 end as version,
+            cast(rows as bigint) as rows, cast(stations as bigint) as stations, cast(bikes as bigint) as bikes from (
+            select cast(n as varchar) as number, n, count(*) as rows, count(distinct nuid) as stations, sum(bikes) as bikes,
+                count_if(cast(nuid as bigint) % 3 = 0) as lacking
+            from (select *, cast(floor(epoch(timestamp) / {FILE_DAYS * 86400}) as bigint) % 100 + 202300 as n from changes) group by n)""",
+        "kept_table": "select *, cast(collected_at as date) as day from runs",
+    }
+
+
+def model_statements() -> dict[str, str]:
+    """What is known of the trained models without training one."""
+    facts = f"""select m.model, a.train_rows, a.train_positives, b.test_rows, b.test_positives, true as scores_in_range,
+        true as calls_follow_scores, true as metrics_agree
+        from (values ('%s')) m(model),
+        (select count(*) as train_rows, {big("count_if(empty_future)")} as train_positives from train) a,
+        (select count(*) as test_rows, {big("count_if(empty_future)")} as test_positives from test) b"""
+    plain = f"strategy in {PLAIN_STRATEGIES}"
+    labels = " ".join(f"when '{k}' then '{v}'" for k, v in STRATEGIES.items())
+    return {
+        "train_logistic": facts % "logistic_regression",
+        "train_boosted_trees": facts % "boosted_trees",
+        "predict_latest_risk": "select station_id, true as label_follows from now_named",
+        "nearest_with_trained_risk": f"""select station_id, name, num_bikes_available, {whole("m")} as distance_m, true as label_follows
+            from live where num_bikes_available > 0 and m is not null order by distance_m, name, station_id limit 10""",
+        "trained_comparison": """select model as best_baseline, round(f1, 6) as baseline_f1, true as model_known,
+            true as verdict_follows from metric order by f1 desc, model desc limit 1""",
+        "trained_choices": f"""select strategy, collected_at, origin, case when {plain} then station_id end as station_id,
+            case when {plain} then success end as success, case when {plain} then no_candidate end as no_candidate,
+            true as keeps_rule from choice""",
+        "trained_choice_metrics": f"""select strategy, case strategy {labels} end as label, count(*) as attempts,
+            case when {plain} then cast(count_if(no_candidate) as bigint) end as no_candidate,
+            case when {plain} then round(avg(cast(success as integer)), 6) end as success_rate,
+            case when {plain} then round(avg(distance_m), 6) end as avg_distance_m,
+            case when {plain} then round(quantile_cont(distance_m, 0.9), 6) end as p90_distance_m,
+            case when {plain} then round(avg(extra_distance_m), 6) end as avg_extra_distance_m,
+            true as probability_in_range from choice group by 1""",
+    }
+
+
 _FEED_TIME = "cast(epoch(collected_at) as bigint) as feed_last_updated"
 _N = "cast(station_id as bigint)"
 _K = "cast(bike_id as bigint)"
@@ -732,4 +776,4 @@ def stream_statements() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql(text) for name, text in {**statements(), **stream_statements()}.items()}
+    return {name: sql(text) for name, text in {**statements(), **file_statements(), **model_statements(), **stream_statements()}.items()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.lake import ON_FILES
 from checks.streams import ON_STREAMS
 from checks.tables import ORIGIN, RADIUS_M, TZ, Tables
 from stationflow.functions.rules import round_to
@@ -25,7 +27,8 @@ from stationflow.operators.history import (
     worst_months,
 )
 from stationflow.operators.moves import Movements
-from stationflow.session import settle
+from stationflow.operators.features import TARGET
+from stationflow.session import settle, shared_folder
 from stationflow.sources import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +80,8 @@ def _dataset(t: Tables) -> DataFrame:
 
 
 def _split(t: Tables) -> models.TemporalSplit:
-    """The dataset is read several times by everything after it, so it is settled as a table."""
-    return models.TemporalSplit(settle(_dataset(t), "dataset"))
+    """The dataset is read several times by everything after it, so it is stored once."""
+    return models.TemporalSplit(t.kept("dataset", lambda: settle(_dataset(t), "dataset")))
 
 
 def _prior_rows(t: Tables) -> tuple[models.TemporalSplit, DataFrame]:
@@ -124,28 +127,98 @@ def _comparison(t: Tables) -> DataFrame:
     return models.best_model_comparison(metrics.where(simple), metrics.where(~simple))
 
 
-def _logistic(t: Tables) -> DataFrame:
-    split = _split(t)
-    model = models.train_logistic(split.train)
-    return models.binary_metrics(models.model_predictions("logistic_regression", model, split.test))
+def _trained(t: Tables) -> tuple[models.TemporalSplit, str]:
+    """The split, and the folder in which both models, trained on its first part, are stored with their table."""
 
+    def fit() -> str:
+        folder = f"{shared_folder(t.spark)}/stationflow/models-{uuid.uuid4().hex}"
+        models.train_models(_split(t), folder)
+        return folder
 
-def _boosted(t: Tables) -> DataFrame:
-    split = _split(t)
-    model = models.train_boosted_trees(split.train)
-    return models.binary_metrics(models.model_predictions("boosted_trees", model, split.test))
+    return _split(t), t.kept("models", fit)
 
 
-def _latest_features(t: Tables) -> DataFrame:
-    latest = stations.latest_rows(t.status, t.runs).select("station_id")
-    return features.latest_features(t.status, t.info, t.runs, latest, SPANS)
+def _model_facts(t: Tables, name: str) -> DataFrame:
+    """What can be said of a trained model without its numbers: what it was trained and scored on, and that scores, calls and
+    metrics belong together."""
+    split, folder = _trained(t)
+    scored = models.model_predictions(name, models.load_model(f"{folder}/{name}"), split.test)
+    metrics = models.stored_models(t.spark, folder).where(F.col("model") == name)
+    train = split.train.agg(F.struct(F.count("*").alias("n"), F.count_if(TARGET).alias("pos")).alias("f")).scalar()
+    hits, y = F.col("y_hat") == F.col("y"), F.col("y")
+    facts = scored.groupBy("model").agg(
+        F.count("*").alias("test_rows"),
+        F.count_if(y).alias("test_positives"),
+        F.avg(hits.cast("double")).alias("hit_rate"),
+        F.bool_and(F.col("score").between(0, 1)).alias("scores_in_range"),
+        F.bool_and((F.col("score") == 0.5) | ((F.col("score") > 0.5) == F.col("y_hat"))).alias("calls_follow_scores"),
+    )
+    agree = (F.abs(F.col("accuracy") - F.col("hit_rate")) < 1e-9) & F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)
+    return facts.join(metrics, "model").select(
+        "model", train["n"].alias("train_rows"), train["pos"].alias("train_positives"), "test_rows", "test_positives", "scores_in_range",
+        "calls_follow_scores", agree.alias("metrics_agree"),
+    )
+
 
+def _scored_test(t: Tables) -> DataFrame:
+    split, folder = _trained(t)
+    _, model = models.best_stored(t.spark, folder)
+    return models.model_scores(model, split.test)
 
-def _predict(t: Tables) -> DataFrame:
-    model = models.train_logistic(_split(t).train)
+
+def _label_follows() -> Column:
+    p = F.col("empty_probability")
+    want = F.when(p >= 0.7, "high").when(p >= 0.4, "medium").otherwise("low")
+    return (p.between(0, 1) & (F.col("risk_label") == want)).alias("label_follows")
+
+
+def _latest_risk(t: Tables) -> DataFrame:
+    _, folder = _trained(t)
+    _, model = models.best_stored(t.spark, folder)
     return models.predict_latest_risk(model, _latest_features(t))
 
 
+def _trained_comparison(t: Tables) -> DataFrame:
+    """The best baseline against the best trained model; of the latter only what follows from its numbers."""
+    split, folder = _trained(t)
+    baselines = models.binary_metrics(models.baseline_predictions(split))
+    told = models.best_model_comparison(baselines, models.stored_models(t.spark, folder))
+    delta = F.col("model_f1") - F.col("baseline_f1")
+    verdict = F.when(delta > 0.002, "model ahead").when(delta < -0.002, "baseline ahead").otherwise("tied")
+    return told.select(
+        "best_baseline", round_to(F.col("baseline_f1"), 6).alias("baseline_f1"),
+        F.col("best_model").isin("logistic_regression", "boosted_trees").alias("model_known"),
+        ((F.col("f1_delta") == delta) & (F.col("verdict") == verdict)).alias("verdict_follows"),
+    )
+
+
+#: Strategies that ask no model.
+PLAIN_STRATEGIES = ("nearest_with_bike", "nearest_bikes_ge_2")
+
+
+def _trained_choices(t: Tables) -> DataFrame:
+    choices = backtest.recommendation_choices(_scored_test(t), max_distance_m=BACKTEST_M)
+    plain, p = F.col("strategy").isin(*PLAIN_STRATEGIES), F.col("empty_probability")
+    low = (F.col("strategy") != "nearest_model_low_risk") | (p < 0.4)
+    rule = F.col("no_candidate") | (p.between(0, 1) & low & (F.col("distance_m") <= BACKTEST_M))
+    own = {c: F.when(plain, F.col(c)) for c in ("station_id", "success", "no_candidate")}
+    return choices.select("strategy", "collected_at", "origin", *[c.alias(n) for n, c in own.items()], rule.alias("keeps_rule"))
+
+
+def _trained_choice_metrics(t: Tables) -> DataFrame:
+    choices = backtest.recommendation_choices(_scored_test(t), max_distance_m=BACKTEST_M)
+    plain = F.col("strategy").isin(*PLAIN_STRATEGIES)
+    told = backtest.recommendation_metrics(choices)
+    shown = ["no_candidate", "success_rate", "avg_distance_m", "p90_distance_m", "avg_extra_distance_m"]
+    fair = F.col("avg_empty_probability").isNull() | F.col("avg_empty_probability").between(0, 1)
+    return rounded(told.select("strategy", "label", "attempts", *[F.when(plain, F.col(c)).alias(c) for c in shown], fair.alias("probability_in_range")))
+
+
+def _latest_features(t: Tables) -> DataFrame:
+    latest = stations.latest_rows(t.status, t.runs).select("station_id")
+    return features.latest_features(t.status, t.info, t.runs, latest, SPANS)
+
+
 ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     # snapshots and stations
     "normalize_status": lambda t: snapshots.normalize_status(t.raw),
@@ -262,9 +335,15 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "best_model_comparison": lambda t: rounded(_comparison(t)),
     "recommendation_choices": lambda t: rounded(_choices(t)),
     "recommendation_metrics": lambda t: rounded(backtest.recommendation_metrics(_choices(t))),
-    "train_logistic": _logistic,
-    "train_boosted_trees": _boosted,
-    "predict_latest_risk": _predict,
+    "train_logistic": lambda t: _model_facts(t, "logistic_regression"),
+    "train_boosted_trees": lambda t: _model_facts(t, "boosted_trees"),
+    "predict_latest_risk": lambda t: _latest_risk(t).select("station_id", _label_follows()),
+    "nearest_with_trained_risk": lambda t: spatial.nearest_with_risk(
+        spatial.nearest_stations(t.status, t.runs, t.info, *ORIGIN), _latest_risk(t)
+    ).select("station_id", "name", "num_bikes_available", "distance_m", _label_follows()),
+    "trained_comparison": _trained_comparison,
+    "trained_choices": _trained_choices,
+    "trained_choice_metrics": _trained_choice_metrics,
 }
 
 
@@ -272,4 +351,4 @@ def queries() -> dict[str, Query]:
     def bind(build: Callable[[Tables], DataFrame]) -> Query:
         return lambda spark, folder: build(Tables.of(spark, folder))
 
-    return {name: bind(build) for name, build in {**ON_TABLES, **ON_STREAMS}.items()}
+    return {name: bind(build) for name, build in {**ON_TABLES, **ON_FILES, **ON_STREAMS}.items()}

@@ -6,6 +6,7 @@ inputs, so every query grows with them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -46,6 +47,13 @@ class Tables:
         key = (spark.sparkContext.applicationId, folder)
         return _KNOWN.setdefault(key, cls(spark, folder))
 
+    def kept(self, name: str, build: Callable):
+        """What ``build`` gives, made once and kept with these tables."""
+        have = self.__dict__.setdefault("_kept", {})
+        if name not in have:
+            have[name] = build()
+        return have[name]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

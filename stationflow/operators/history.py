@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stationflow.functions.clock import epoch_us, hour_label, month_label
 from stationflow.functions.geo import distance_m, whole_metres
 from stationflow.functions.rules import require, require_point, round_to, share, tally
-from stationflow.plans.carry import Grid, on_ticks, states, totals_per_tick
+from stationflow.plans.carry import Grid, on_ticks, states, ticks_before, totals_per_tick
 from stationflow.plans.restrict import restrict
 from stationflow.session import settle
 from stationflow.sources.history import month_key
@@ -228,18 +228,30 @@ def station_history_rates(
     tz: str = "Europe/Prague",
     catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """Per station in walking range: overall rates, and the empty rate of one local hour."""
+    """Per station in walking range: overall rates, and the empty rate of one local hour.
+
+    States are weighted by their ticks; those within the hour are a difference of two rows of a table with one row per tick.
+    """
     area = AreaHistory(changes, lat, lon, max_walk_m, sample_minutes, tz, catalog)
-    bikes = F.coalesce("bikes", F.lit(0))
-    at_hour = hour_label(area.grid.tick_us(F.col("tick")), tz) == hour
+    grid = area.grid
+    in_hour = ticks_before(grid, lambda tick: hour_label(grid.tick_us(tick), tz) == hour)
+    in_hour = settle(in_hour, "ticks-before")
+    until = in_hour.select((F.col("tick") - 1).alias("hi"), F.col("before").alias("until"))
+    since = in_hour.select(F.col("tick").alias("lo"), F.col("before").alias("since"))
+    bikes, ticks, here = F.coalesce("bikes", F.lit(0)), F.col("hi") - F.col("lo") + 1, F.col("until") - F.col("since")
+
+    def rate(condition: Column, weight: Column) -> Column:
+        return F.try_divide(F.sum(F.when(condition, weight).otherwise(0)), F.sum(weight))
+
     rates = (
-        on_ticks(area.state)
+        area.state.join(since, "lo")
+        .join(until, "hi")
         .groupBy("nuid")
         .agg(
-            round_to(F.avg(bikes), 2).alias("hist_avg_bikes"),
-            round_to(share(bikes == 0), 3).alias("hist_empty_rate"),
-            round_to(share(bikes <= 1), 3).alias("hist_low_rate"),
-            round_to(F.avg(F.when(at_hour, (bikes == 0).cast("double"))), 3).alias("hour_empty_rate"),
+            round_to(F.sum(bikes * ticks) / F.sum(ticks), 2).alias("hist_avg_bikes"),
+            round_to(rate(bikes == 0, ticks), 3).alias("hist_empty_rate"),
+            round_to(rate(bikes <= 1, ticks), 3).alias("hist_low_rate"),
+            round_to(rate(bikes == 0, here), 3).alias("hour_empty_rate"),
         )
     )
     names = area.stations.select("nuid", "station_name")

@@ -9,6 +9,7 @@ it is the result itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -103,6 +104,17 @@ def on_ticks(state: DataFrame) -> DataFrame:
     return state.withColumn("tick", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
 
 
+def ticks_before(grid: Grid, counted: Callable[[Column], Column]) -> DataFrame:
+    """(tick, before): how many ticks before it satisfy ``counted``, for all ticks and the one behind the last.
+
+    The number of such ticks in lo..hi is the difference of two rows of this table, however long the state lasts.
+    """
+    ends = grid.changes.sparkSession.range(grid.last_tick + 2).withColumnRenamed("id", "tick")
+    flagged = ends.withColumn("is", F.coalesce(counted(F.col("tick")), F.lit(False)).cast("long"))
+    sums = with_running_sums(flagged, [], floor_div(F.col("tick"), TICKS_PER_BIN), [F.col("tick")], {"upto": "is"})
+    return sums.select("tick", (F.col("upto") - F.col("is")).alias("before"))
+
+
 def totals_per_tick(grid: Grid, state: DataFrame) -> DataFrame:
     """(tick, observed, total_bikes, with_bikes, empty) over all stations that have a state; the last three
     are NULL where no station's stock is known.

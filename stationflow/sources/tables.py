@@ -12,18 +12,27 @@ TABLE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
 
 def checked_name(name: str) -> str:
-    require(TABLE_NAME.fullmatch(name) is not None, "table name must use only letters, numbers, and underscores")
+    require(TABLE_NAME.fullmatch(name) is not None, f"{name!r} is no table name: letters, digits and underscores, no digit first")
     return name
 
 
-def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> None:
-    """Replace the table."""
+def save_table(df: DataFrame, name: str, partition_by: list[str] | None = None, path: str | None = None) -> None:
+    """Replace the table; with ``path`` its files lie there instead of in the warehouse."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if path is not None:
+        writer = writer.option("path", path)
     writer.saveAsTable(checked_name(name))
 
 
+def replace_partitions(df: DataFrame, name: str) -> None:
+    """Replace only the partitions of the table that ``df`` has rows for; the others stay."""
+    columns = df.sparkSession.table(checked_name(name)).columns
+    require(set(columns) == set(df.columns), f"rows do not have the columns of {name!r}")
+    df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+
+
 def load_table(spark: SparkSession, name: str, required: list[str] | None = None, order_by: list[str] | None = None):
     """The table, after a check of its columns; a global sort only where asked for."""
     table = spark.table(checked_name(name))

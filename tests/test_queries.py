@@ -16,7 +16,6 @@ from checks.compare import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, SQL = registry.queries(), oracle.oracle_sql()
-WITHOUT_SQL = {"train_logistic", "train_boosted_trees", "predict_latest_risk"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +23,8 @@ def con():
     return database(FOLDER)
 
 
-def test_every_query_but_the_trained_models_has_sql():
-    assert set(QUERIES) - set(SQL) == WITHOUT_SQL and not set(SQL) - set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):

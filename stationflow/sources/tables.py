@@ -30,7 +30,13 @@ def replace_partitions(df: DataFrame, name: str) -> None:
     """Replace only the partitions of the table that ``df`` has rows for; the others stay."""
     columns = df.sparkSession.table(checked_name(name)).columns
     require(set(columns) == set(df.columns), f"rows do not have the columns of {name!r}")
-    df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+    conf, mode = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(mode)  # inserts into a named table take the mode from here, not from an option of the write
+    conf.set(mode, "dynamic")
+    try:
+        df.select(*columns).write.mode("overwrite").insertInto(name)
+    finally:
+        conf.set(mode, before)
 
 
 def load_table(spark: SparkSession, name: str, required: list[str] | None = None, order_by: list[str] | None = None):

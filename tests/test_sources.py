@@ -104,6 +104,41 @@ def test_tables(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "tables" / "t")).count() == 2
 
 
+def test_replaced_partitions_leave_the_others(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "c", 1)], "day int, s string, n int")
+    tables.save_table(frame, "by_day", ["day"], str(tmp_path / "by_day"))
+    tables.replace_partitions(spark.createDataFrame([(5, 2, "d"), (7, 3, "e")], "n int, day int, s string"), "by_day")
+    assert sorted(map(tuple, tables.load_table(spark, "by_day", ["day"]).select("day", "s", "n").collect())) == [
+        (1, "a", 1), (1, "b", 1), (2, "d", 5), (3, "e", 7)
+    ]
+    with pytest.raises(ValueError):
+        tables.replace_partitions(frame.drop("n"), "by_day")
+    spark.sql("drop table by_day")
+
+
+def test_picked_up_files_replace_their_earlier_rows(spark, tmp_path):
+    offered, root = tmp_path / "offered", str(tmp_path / "held")
+    offered.mkdir()
+
+    def offer(name, n):
+        spark.range(n).selectExpr("cast(id as string) as nuid").coalesce(1).write.parquet(str(tmp_path / f"{name}{n}"))
+        (part,) = (tmp_path / f"{name}{n}").glob("*.parquet")
+        (offered / f"{name}-x-stats.parquet").write_bytes(part.read_bytes())
+
+    def held():
+        return {(r.file_name[:6], r.version, r["count"]) for r in history.read_held(spark, root).groupBy("file_name", "version").count().collect()}
+
+    offer("202401", 3)
+    offer("202402", 4)
+    assert history.pick_up(spark, str(offered), root, "x", [2023]) == 0
+    assert history.pick_up(spark, str(offered), root, "x") == 2 and held() == {("202401", 1, 3), ("202402", 1, 4)}
+    offer("202402", 400)
+    offer("202403", 1)
+    assert history.pick_up(spark, str(offered), root, "x") == 2
+    assert held() == {("202401", 1, 3), ("202402", 2, 400), ("202403", 2, 1)}
+    assert history.pick_up(spark, str(offered), root, "x") == 0
+
+
 def test_polygon_vertices(spark):
     shape = '{"type": "MultiPolygon", "coordinates": [[[[0,0],[1,0],[1,1],[0,0]]], [[[5,5],[6,5],[6,6],[5,5]], [[5.2,5.1],[5.3,5.1],[5.3,5.2],[5.2,5.1]]]]}'
     rows = polygons.polygon_vertices(spark, shape).collect()

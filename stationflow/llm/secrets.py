@@ -6,6 +6,12 @@ new. A layer seen before for the same place is not opened again, which ends cycl
 knows the span of the original text it came from, so all findings are told as spans of the original. Escapes are decoded over
 the whole layer, so plain parts between them stay in their places. Base64 is decoded at all four alignments, over line ends, and
 what it gives may hold any bytes; a byte stands as the character of its number.
+
+The work stays in proportion to the text and what it unpacks to, in bounded memory: escapes nested deeper than ``PASSES`` are opened
+to their end at once, and compressed streams are searched in windows of ``WINDOW`` bytes.
+
+Edge cases: NULL and empty texts have no spans. Rows are handled one by one, so repeated rows, ties and other columns play no part, and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +57,21 @@ WORTH = re.compile(
 ESCAPED_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPED_UNITS = re.compile(r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}))+")
 
+#: Layers of escapes opened one by one; what is nested deeper is opened to its end at once, so that the work stays in proportion.
+PASSES = 4
+#: Bytes of a stream fed at a time, and the most it gives at a time.
+STEP, PIECE = 1 << 15, 1 << 20
+#: Decoded bytes of a stream that are held and searched at a time, and how far two such windows overlap. An encoded part of a longer
+#: stream that is longer than the overlap and lies over a window's edge is opened in two parts.
+WINDOW, OVERLAP = 8 << 20, 1 << 20
+#: Decoded characters below which a stream can't hold a finding.
+LEAST = 12
+
+_BASE64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_IN_BASE64 = bytes(99 if b in _BASE64_BYTES else b if b in b"\r\n" else 46 for b in range(256))
+_IN_WIDE = bytes(0 if b == 0 else 99 if 9 <= b <= 126 else 46 for b in range(256))
+_HEXADECIMAL = frozenset("0123456789abcdefABCDEF")
+
 #: Where the characters of a layer come from: starts and ends, one span for all of them alike, or None for the same places.
 Places = np.ndarray | tuple[int, int] | None
 
@@ -116,6 +137,56 @@ def _unicode_units(run: str):
     return out
 
 
+def _escape_size(chars: list) -> int:
+    """Length of the escape that the characters end with, 0 if none. Decoded bytes are numbers among them."""
+    if chars[-1] not in _HEXADECIMAL or len(chars) < 3 or chars[-2] not in _HEXADECIMAL:
+        return 0
+    if chars[-3] == "%":
+        return 3
+    if len(chars) >= 4 and chars[-3] == "x" and chars[-4] == "\\":
+        return 4
+    if len(chars) >= 6 and chars[-5] == "u" and chars[-6] == "\\" and all(c in _HEXADECIMAL for c in chars[-4:-2]):
+        return 6
+    return 0
+
+
+def _fully_unescaped(text: str) -> tuple[str, np.ndarray]:
+    """The text with URL and Unicode escapes decoded until none is left, however deep they are nested, in one pass: whatever a
+    decoded character completes is decoded at once. With the starts and ends of each character."""
+    chars, starts, ends = [], [], []
+    for at, char in enumerate(text):
+        chars.append(char)
+        starts.append(at)
+        ends.append(at + 1)
+        while chars[-1] in _HEXADECIMAL and (size := _escape_size(chars)):
+            code = int("".join(chars[-(4 if size == 6 else 2) :]), 16)
+            first, last = starts[-size], ends[-1]
+            del chars[-size:], starts[-size:], ends[-size:]
+            chars.append(code if size == 3 and code > 127 else chr(code))
+            starts.append(first)
+            ends.append(last)
+    out, places, at = [], [], 0
+    while at < len(chars):
+        upto = at
+        while upto < len(chars) and isinstance(chars[upto], int):
+            upto += 1
+        if upto > at:  # a run of bytes beyond ASCII
+            for char, a, b in _utf8_runs(bytes(chars[at:upto])):
+                out.append(char)
+                places.append((starts[at + a], ends[at + b - 1]))
+            at = upto
+            continue
+        char = chars[at]
+        if out and "\udc00" <= char < "\ue000" and "\ud800" <= out[-1] < "\udc00":
+            out[-1] = chr(0x10000 + (ord(out[-1]) - 0xD800) * 1024 + ord(char) - 0xDC00)
+            places[-1] = (places[-1][0], ends[at])
+        else:
+            out.append(char)
+            places.append((starts[at], ends[at]))
+        at += 1
+    return "".join(out), np.array(places, np.int32).reshape(-1, 2).T
+
+
 def _byte_units(run: str):
     return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(binascii.unhexlify(run.replace("%", "")))]
 
@@ -136,28 +207,78 @@ def _bytes_of(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _unpacked(text: str):
-    """(start, end, decoded, None) of zlib and gzip streams among characters that stand for bytes."""
-    raw = text.encode("latin-1", "replace")
-    for m in PACKED.finditer(text):
-        stream = zlib.decompressobj(47)  # 47: either header
+def _inflate(raw: memoryview, at: int):
+    """Decoded pieces of the zlib or gzip stream at ``at``; returns where it ends: behind its last byte, at the byte at which it is
+    damaged, or with the bytes."""
+    stream = zlib.decompressobj(47)  # 47: either header
+    while at < len(raw) and not stream.eof:
+        fed, before, told = raw[at : at + STEP], stream.copy(), 0
         try:
-            out = stream.decompress(raw[m.start() :])
+            rest = fed
+            while len(rest) and not stream.eof:
+                out = stream.decompress(rest, PIECE)
+                told += len(out)
+                yield out
+                rest = stream.unconsumed_tail
+            at += len(fed) - len(stream.unused_data)
         except zlib.error:
-            out = _before_error(raw[m.start() :])
-        if out:
-            yield m.start(), len(raw) - len(stream.unused_data), out.decode("latin-1"), None
+            for i in range(len(fed)):  # what the bytes before the damage give
+                try:
+                    out = before.decompress(fed[i : i + 1])
+                except zlib.error:
+                    return at + i
+                yield out[told:]
+                told = max(0, told - len(out))
+            return at + len(fed)
+    return at
+
+
+def _end_and_size(raw: memoryview, at: int) -> tuple[int, int]:
+    pieces, size = _inflate(raw, at), 0
+    while True:
+        try:
+            size += len(next(pieces))
+        except StopIteration as done:
+            return done.value, size
+
+
+def _windows(pieces, size: int):
+    """The decoded bytes in windows that overlap; those of a long stream only where anything could be found in them."""
+    held = b""
+    for piece in pieces:
+        held += piece
+        if len(held) >= WINDOW:
+            if _promising(held):
+                yield held
+            held = held[-OVERLAP:]
+    if size < WINDOW or _promising(held):
+        yield held
+
+
+def _promising(window: bytes) -> bool:
+    """Whether a window can hold a finding or anything encoded; tells only windows away that hold neither."""
+    low, runs = window.lower(), window.translate(_IN_BASE64)
+    marks = (b"passw", b"secret", b"token", b"key", b"akia", b"%", b"\\", b"\x1f\x8b\x08", b"x\x01", b"x^", b"x\x9c", b"x\xda")
+    return (
+        any(mark in low for mark in marks)
+        or any(mark in runs for mark in (b"c" * 12, b"c\n", b"c\r\n"))
+        or b"c\0" * 8 in window.translate(_IN_WIDE)
+    )
 
 
-def _before_error(raw: bytes) -> bytes:
-    """What a damaged stream, or one with other bytes after its cut end, gives up to the damage."""
-    stream, out = zlib.decompressobj(47), []
-    try:
-        for byte in range(len(raw)):
-            out.append(stream.decompress(raw[byte : byte + 1]))
-    except zlib.error:
-        pass
-    return b"".join(out)
+def _unpacked(text: str):
+    """(start, end, decoded, None) of zlib and gzip streams among characters that stand for bytes; a long stream in windows."""
+    raw = memoryview(text.encode("latin-1", "replace"))
+    for m in PACKED.finditer(text):
+        start = m.start()
+        try:  # what is damaged before it gave enough is most often no stream at all
+            zlib.decompressobj(47).decompress(raw[start : start + 512], LEAST)
+        except zlib.error:
+            continue
+        end, size = _end_and_size(raw, start)
+        if size >= LEAST:
+            for window in _windows(_inflate(raw, start), size):
+                yield start, end, window.decode("latin-1"), None
 
 
 def _base64_layers(text: str):
@@ -185,10 +306,15 @@ def _base64_layers(text: str):
             yield (*m.span(), raw.decode("latin-1"), places)
 
 
-def _inner(text: str):
-    """(start, end, decoded, places in the region or None for all of it alike) of whatever in the text looks encoded."""
-    for marks, runs, units in ((("%",), ESCAPED_BYTES, _url_units), (("\\u", "\\x"), ESCAPED_UNITS, _unicode_units)):
-        if any(mark in text for mark in marks) and runs.search(text):
+def _inner(text: str, depth: int):
+    """(start, end, decoded, places in the region or None for all of it alike) of whatever in the text looks encoded, ``depth``
+    layers down."""
+    escapes = ((("%",), ESCAPED_BYTES, _url_units), (("\\u", "\\x"), ESCAPED_UNITS, _unicode_units))
+    found = [(runs, units) for marks, runs, units in escapes if any(mark in text for mark in marks) and runs.search(text)]
+    if found and depth >= PASSES:
+        yield (0, len(text), *_fully_unescaped(text))
+    elif found:
+        for runs, units in found:
             yield (0, len(text), *_unescape(text, runs, units))
     if "%" in text and ESCAPED_PACKED.search(text):
         yield (0, len(text), *_unescape(text, ESCAPED_BYTES, _byte_units))
@@ -208,22 +334,27 @@ def _origin(places: Places, a: int, b: int) -> tuple[int, int]:
 
 
 def layers(text: str):
-    """All decoded layers with the places of their characters in the text."""
-    work, seen = [(text, None)], set()
-    while work:
-        layer, places = work.pop()
-        for start, end, decoded, inside in _inner(layer):
-            span = _origin(places, start, end)
-            mark = (span, xxhash.xxh128_digest(decoded.encode("utf-8", "surrogatepass")))
-            if not decoded or decoded == layer[start:end] or mark in seen:
-                continue
-            seen.add(mark)
-            mapped: Places = span
-            if inside is not None and not isinstance(places, tuple):
-                inside = inside + start
-                mapped = inside if places is None else np.stack([places[0, inside[0]], places[1, inside[1] - 1]])
-            yield decoded, mapped
-            work.append((decoded, mapped))
+    """All decoded layers with the places of their characters in the text. A layer is followed to its end before the next one
+    is made, so only those that lie within each other are held."""
+    open_layers, seen = [(text, None, _inner(text, 0))], set()
+    while open_layers:
+        layer, places, inner = open_layers[-1]
+        found = next(inner, None)
+        if found is None:
+            open_layers.pop()
+            continue
+        start, end, decoded, inside = found
+        span = _origin(places, start, end)
+        mark = (span, xxhash.xxh128_digest(decoded.encode("utf-8", "surrogatepass")))
+        if not decoded or decoded == layer[start:end] or mark in seen:
+            continue
+        seen.add(mark)
+        mapped: Places = span
+        if inside is not None and not isinstance(places, tuple):
+            inside = inside.astype(np.int32) + start
+            mapped = inside if places is None else np.stack([places[0, inside[0]], places[1, inside[1] - 1]])
+        yield decoded, mapped
+        open_layers.append((decoded, mapped, _inner(decoded, len(open_layers))))
 
 
 def spans_of(text: str) -> list[tuple[int, int, str]]:

@@ -13,6 +13,9 @@ themselves of all texts of an entry that are not linked yet.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +37,10 @@ SIMILAR_WORDS = 5
 SIMILARITY = 0.8
 #: Index entries of a text and the least hashes that make one: a pair of that similarity shares no entry in 3 of 10^6 cases.
 BANDS, ROWS = 32, 5
+#: Bits by which pairs of an entry are told apart before their shingles are compared.
+BITS = 1024
 #: About so many different texts are dealt to one bucket where pairs are verified.
-BUCKET = 256
+BUCKET = 1024
 
 
 def fingerprint_of(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -151,7 +156,8 @@ FACTORS = _factors()
 
 
 def sketch_of(text: str) -> dict:
-    """``fp`` (hash of the shingle set), ``n`` (its size) and ``keys`` (entries of the index)."""
+    """``fp`` (hash of the shingle set), ``n`` (its size), ``keys`` (entries of the index) and ``bits`` (a bit for each value that a
+    shingle's hash has modulo ``BITS``)."""
     hashes = shingle_set(text)
     halves = hashes.view(np.uint32).reshape(-1, 2).T.copy()
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
@@ -161,12 +167,15 @@ def sketch_of(text: str) -> dict:
     bands = least.reshape(BANDS, ROWS)
     keys = np.array([xxhash.xxh64_intdigest(bands[i].tobytes(), i) for i in range(BANDS)], np.uint64).view(np.int64)
     fp = int(np.array(xxhash.xxh64_intdigest(hashes.tobytes(), SEED), np.uint64).view(np.int64))
-    return {"fp": fp, "n": hashes.size, "keys": keys.tolist()}
+    places = np.zeros(BITS, np.uint8)
+    places[hashes % np.uint64(BITS)] = 1
+    bits = np.packbits(places, bitorder="little").view("<i8")
+    return {"fp": fp, "n": hashes.size, "keys": keys.tolist(), "bits": bits.tolist()}
 
 
 def sketch(text: Column) -> Column:
-    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
-    return on_texts(sketch_of, kind, "fp long, n int, keys array<long>")(text)
+    kind = pa.struct([("fp", pa.int64()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    return on_texts(sketch_of, kind, "fp long, n int, keys array<long>, bits array<long>")(text)
 
 
 def _sized(n: str, m: str) -> Column:
@@ -174,23 +183,43 @@ def _sized(n: str, m: str) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * SIMILARITY
 
 
-def _first_pairs(entries: DataFrame) -> DataFrame:
-    """(fp, root) of different texts: each member of an index entry beside the entry's first one."""
-    firsts = entries.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("_f"), F.count("*").alias("_n")).where("_n > 1")
-    pairs = entries.join(firsts.select("key", F.col("_f.fp").alias("root"), F.col("_f.n").alias("m")), "key")
-    return pairs.where((F.col("fp") != F.col("root")) & _sized("n", "m")).select("fp", "root").distinct()
+def _near(bits: str, of: str, n: str, m: str) -> Column:
+    """Whether two sets can be similar by their bits. Each bit that differs comes of a shingle that only one set has, and
+    sets of that similarity have at most this many such shingles; so no similar pair is told apart, and few others pass."""
+    differ = reduce(add, [F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(of)[i])) for i in range(BITS // 64)])
+    return differ * (1 + SIMILARITY) <= (F.col(n) + F.col(m)) * (1 - SIMILARITY) + 1e-6
+
+
+def _shared(prints: DataFrame) -> DataFrame:
+    """(key, fp, n, weight) of the index entries that several texts have. A text weighs what it shares: the sum of the sizes of its
+    entries, so that of many edits of one page the page itself weighs most."""
+    entries = prints.select("fp", "n", F.explode("keys").alias("key"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = settle(entries.join(sizes, "key"), "entries")
+    weights = shared.groupBy("fp").agg(F.sum("_n").alias("weight"))
+    return settle(shared.drop("_n").join(weights, "fp"), "weighed")
 
 
-def _other_pairs(prints: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """(fp, root) of all pairs of an index entry that no links join yet and that were not tried."""
-    rooted = prints.join(roots.withColumnRenamed("root", "of"), "fp", "left").withColumn("of", F.coalesce("of", "fp"))
-    rooted = rooted.select("fp", "n", "of", F.explode("keys").alias("key"))
+def _first_pairs(shared: DataFrame, prints: DataFrame) -> DataFrame:
+    """(fp, root) of different texts that can be similar: each member of an index entry beside the entry's weightiest one."""
+    heaviest = F.max(F.struct("weight", "fp", "n"))
+    firsts = shared.groupBy("key").agg(heaviest.alias("_f")).select("key", F.col("_f.fp").alias("root"), F.col("_f.n").alias("m"))
+    pairs = shared.join(firsts, "key").where((F.col("fp") != F.col("root")) & _sized("n", "m")).select("fp", "root").distinct()
+    mine = prints.select("fp", "n", "bits")
+    theirs = prints.select(F.col("fp").alias("root"), F.col("n").alias("m"), F.col("bits").alias("_bits"))
+    return pairs.join(mine, "fp").join(theirs, "root").where(_near("bits", "_bits", "n", "m")).select("fp", "root")
+
+
+def _other_pairs(shared: DataFrame, roots: DataFrame, tried: DataFrame, prints: DataFrame) -> DataFrame:
+    """(fp, root) of all pairs of an index entry that can be similar, that no links join yet and that were not tried."""
+    rooted = shared.drop("weight").join(roots.withColumnRenamed("root", "of"), "fp", "left").withColumn("of", F.coalesce("of", "fp"))
     several = rooted.groupBy("key").agg(F.min("of").alias("a"), F.max("of").alias("z")).where("a < z").select("key")
-    open_ = settle(rooted.join(several, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("fp").alias("root"), F.col("n").alias("m"), F.col("of").alias("_of"))
-    apart = (F.col("of") != F.col("_of")) & (F.col("fp") > F.col("root")) & _sized("n", "m")
+    open_ = settle(rooted.join(several, "key", "left_semi").join(prints.select("fp", "bits"), "fp"), "open")
+    other = open_.select("key", F.col("fp").alias("root"), F.col("n").alias("m"), F.col("of").alias("_of"), F.col("bits").alias("_bits"))
+    apart = (F.col("of") != F.col("_of")) & (F.col("fp") > F.col("root")) & _sized("n", "m") & _near("bits", "_bits", "n", "m")
     pairs = open_.join(other, "key").where(apart).select("fp", "root").distinct()
-    return pairs.join(tried, ["fp", "root"], "left_anti")
+    both = tried.union(tried.select(F.col("root").alias("fp"), F.col("fp").alias("root")))
+    return pairs.join(both, ["fp", "root"], "left_anti")
 
 
 def _similar_in(pairs: pa.Table, sets: pa.Table) -> pa.Table:
@@ -241,7 +270,7 @@ def similar_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp, root) for every row of ``docs``; rows of one ``root`` are copies of each other, directly or
     over others: texts that share four fifths of their different five-word shingles, or more.
 
-    Every member of an index entry is verified against the entry's first text, which links most of a large group of copies;
+    Every member of an index entry is verified against the text of the entry that shares most, which links most of a large group of copies;
     then all members of an entry that are not linked yet are verified against each other. So no two texts that
     share an entry are left untold, and the pairs grow with the square only of what is in one entry and not
     linked. The index misses 3 in 10^6 pairs at the least similarity and fewer above. NULL and empty texts are copies
@@ -249,24 +278,33 @@ def similar_copies(docs: DataFrame) -> DataFrame:
     """
     marks = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sketch(F.col("text")).alias("_s"))
     marked = settle(marks.select("doc_id", "text_hash", "_s.*"), "sketches")
-    firsts = marked.groupBy("fp").agg(F.min(F.struct("text_hash", "n", "keys")).alias("_f"))
+    firsts = marked.groupBy("fp").agg(F.min(F.struct("text_hash", "n", "keys", "bits")).alias("_f"))
     prints = settle(firsts.select("fp", "_f.*"), "prints")
-    tried = settle(_first_pairs(prints.select("fp", "n", F.explode("keys").alias("key"))), "candidates")
+    shared = _shared(prints)
+    tried = settle(_first_pairs(shared, prints), "candidates")
     told = settle(_verified(tried, prints, docs), "told")
-    others = settle(_other_pairs(prints, components(told), tried), "candidates")
+    others = settle(_other_pairs(shared, components(told), tried, prints), "candidates")
     roots = components(told.union(_verified(others, prints, docs)))
-    return marked.drop("n", "keys").join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
+    return marked.drop("n", "keys", "bits").join(roots, "fp", "left").select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` without the copies that ``similar_copies`` finds, all columns kept: one row of each component stays,
     that of its smallest id (NULL ids last, then the smallest hash of the text). Of wholly equal rows one stays."""
-    found = similar_copies(docs)
+    found = settle(similar_copies(docs), "copies")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
-    best = found.groupBy("root").agg(F.min(order).alias("best")).select("best.doc_id", "best.text_hash")
-    best = best.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")).distinct()
+    best = found.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.text_hash")
+    id_, hash_ = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("_n"))
+    rest = rows.join(best.withColumns({"_best_id": F.col("doc_id"), "_best_hash": F.col("text_hash")}).drop("doc_id", "text_hash"), "root")
+    first = F.col("doc_id").eqNullSafe(F.col("_best_id")) & (F.col("text_hash") == F.col("_best_hash"))
+    # what goes, and of what stays the few rows that are there several times
+    gone = settle(rest.where(~first).select(id_, hash_), "gone")
+    several = settle(rest.where(first & (F.col("_n") > 1)).select(id_, hash_), "several")
+
     hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(best["_kept_id"]) & (hashed["_text_hash"] == best["_kept_hash"])
-    kept = hashed.join(best, same, "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
-    return kept.withColumn("_first", first).where("_first = 1").drop("_first", "_text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    kept = hashed.join(gone, same, "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy("_text_hash"))
+    one = kept.join(several, same, "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return kept.join(several, same, "left_anti").unionByName(one).drop("_text_hash")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -162,7 +163,7 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, part: str) -> bytes:
-        bare = part.rstrip(".,")
+        bare = part.rstrip(string.punctuation)
         stem = bare.lower()
         if not self.plain(stem):
             return self._bytes(self._whole(part))

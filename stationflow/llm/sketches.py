@@ -1,8 +1,12 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range, so it grows with its document and two
-sketches of very unequal documents can still be compared or merged. A document of few shingles retains all of
-them; sketches are then compared below the smaller of both fractions.
+A sketch retains every shingle hash below a fixed fraction of the hash range, the same for all documents, so it grows with its
+document and two sketches of very unequal documents can still be compared or merged. If none of a document's hashes is
+below it, its smallest one is retained, so that only documents without words have an empty sketch. Sketches of different
+fractions are compared below the smaller one.
+
+An estimate from n different shingles of both documents has a standard error of about sqrt(j (1 - j) * SCALED / n) for a Jaccard
+similarity of j: 0.06 at most for 130 shingles, 0.02 for 1,000.
 """
 
 from __future__ import annotations
@@ -14,21 +18,19 @@ from stationflow.llm.common import ascii_lower, bind, run_hash, words
 from stationflow.session import settle
 
 SHINGLE_WORDS = 5
-#: One hash in so many is retained ...
-SCALED = 8
-#: ... unless a document has at most so many different shingles.
-WHOLE_UP_TO = 64
+#: One hash in so many is retained.
+SCALED = 2
 WHITE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a bin of the ordered pass holds, about, and the largest number of bins.
 BIN_BYTES = 24 << 20
 MOST_BINS = 1 << 12
 
-SKETCH = "struct<scaled:int,hashes:array<bigint>>"
+SKETCH = "struct<scaled:int,n:int,mark:bigint,hashes:array<bigint>>"
 
 
 def below(scaled: Column) -> Column:
     """Hashes are compared as non-negative 63-bit numbers; those below this one are retained."""
-    return F.when(scaled == 1, F.lit((1 << 63) - 1)).otherwise(F.lit((1 << 63) // SCALED))
+    return F.call_function("div", F.lit((1 << 63) - 1), scaled.cast("long"))
 
 
 def _shingles(w: Column) -> Column:
@@ -40,29 +42,38 @@ def _shingles(w: Column) -> Column:
     return F.when(F.size(w) >= SHINGLE_WORDS, hashes).otherwise(few)
 
 
-def sketch(text: Column) -> Column:
-    """Sketch of a whole text: (scaled, hashes in order). Without words it is empty."""
+def _within(hashes: Column, limit: Column) -> Column:
+    """The hashes below the limit, or else the smallest one; none of none. In order if they are in order."""
+    return bind(
+        F.filter(hashes, lambda h: h < limit),
+        lambda kept: F.when((F.size(kept) > 0) | (F.size(hashes) == 0), kept).otherwise(F.array(F.array_min(hashes))),
+    )
+
+
+def sketch(text: Column, scaled: int = SCALED) -> Column:
+    """Sketch of a whole text: (scaled, n, mark, hashes in order), with the number of its different shingles and all their hashes as one.
+    Without words it is empty."""
+    limit = F.lit(((1 << 63) - 1) // scaled)
 
     def retained(all_hashes: Column) -> Column:
-        whole = F.size(all_hashes) <= WHOLE_UP_TO
-        scaled = F.when(whole, F.lit(1)).otherwise(F.lit(SCALED))
-        hashes = F.when(whole, all_hashes).otherwise(F.filter(all_hashes, lambda h: h < (1 << 63) // SCALED))
-        return F.struct(scaled.alias("scaled"), F.array_sort(hashes).alias("hashes"))
+        mark = F.aggregate(all_hashes, F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(F.xxhash64(h)))
+        return F.struct(
+            F.lit(scaled).alias("scaled"), F.size(all_hashes).alias("n"), mark.alias("mark"), F.array_sort(_within(all_hashes, limit)).alias("hashes")
+        )
 
     return bind(words(ascii_lower(text), WHITE), lambda w: bind(_shingles(w), retained))
 
 
 def _common(a: Column, b: Column) -> tuple[Column, Column]:
     """Hashes of two sketches below the smaller fraction."""
-    limit = below(F.greatest(a["scaled"], b["scaled"]))
-    cut = lambda s: F.when(s["scaled"] == F.greatest(a["scaled"], b["scaled"]), s["hashes"]).otherwise(
-        F.filter(s["hashes"], lambda h: h < limit)
-    )
+    coarser = F.greatest(a["scaled"], b["scaled"])
+    cut = lambda s: F.when(s["scaled"] == coarser, s["hashes"]).otherwise(_within(s["hashes"], below(coarser)))
     return cut(a), cut(b)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity, 0 to 1. Equal sketches have 1, also empty ones."""
+    """Estimated Jaccard similarity, 0 to 1. It is 1 for equal sets of shingles only, also empty ones; for others it is at most what
+    sets of those sizes can have. Sizes and marks of merged documents are not known and then say nothing."""
     x, y = _common(a, b)
 
     def share(pair: Column) -> Column:
@@ -70,7 +81,12 @@ def likeness(a: Column, b: Column) -> Column:
         either = F.size(pair["x"]) + F.size(pair["y"]) - both
         return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(bind(F.struct(x.alias("x"), y.alias("y")), share))
+    less, more = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    most = F.when(less == more, (more - 1) / (more + 1)).otherwise(less / more)
+    known = a["mark"].isNotNull() & b["mark"].isNotNull() & (more > 0)
+    equal = F.when(known, (a["n"] == b["n"]) & (a["mark"] == b["mark"])).otherwise(a["hashes"] == b["hashes"])
+    estimate = bind(F.struct(x.alias("x"), y.alias("y")), share)
+    return F.when(equal, F.lit(1.0)).when(known, F.least(estimate, most)).otherwise(estimate)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -83,16 +99,21 @@ def containment(a: Column, b: Column) -> Column:
 def merged(a: Column, b: Column) -> Column:
     """Sketch of two documents taken as one, by the smaller fraction."""
     x, y = _common(a, b)
-    return F.struct(F.greatest(a["scaled"], b["scaled"]).alias("scaled"), F.array_sort(F.array_union(x, y)).alias("hashes"))
+    scaled = F.greatest(a["scaled"], b["scaled"])
+    hashes = bind(F.array_sort(F.array_union(x, y)), lambda both: _within(both, below(scaled)))
+    unknown = F.lit(None)
+    return F.struct(scaled.alias("scaled"), unknown.cast("int").alias("n"), unknown.cast("long").alias("mark"), hashes.alias("hashes"))
 
 
 def written(s: Column) -> Column:
-    """A sketch as text: the fraction, then the hashes as 16 hex digits each."""
-    return F.concat(s["scaled"].cast("string"), F.lit(":"), F.array_join(F.transform(s["hashes"], lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), ""))
+    """A sketch as text: the fraction and the mark, then the hashes as 16 hex digits each."""
+    digits = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    return F.concat_ws(":", s["scaled"].cast("string"), digits(s["mark"]), F.array_join(F.transform(s["hashes"], digits), ""))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, sketch) of every row; NULL is the empty text."""
+    """(doc_id, sketch) of every row; NULL is the empty text, whose sketch is empty. Rows are handled one by one, so ties, repeated
+    rows and other columns play no part, and an empty table gives no rows."""
     return docs.select("doc_id", sketch(F.col("text")).alias("sketch"))
 
 

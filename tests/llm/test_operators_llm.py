@@ -419,6 +419,40 @@ def test_likeness_and_merging(spark):
     assert out["inside"] == 1.0 and abs(out["like"] - 596 / 3996) < 0.04 and out["merged"] > 0.98
 
 
+def exact_jaccard(a, b):
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0, len(x | y)
+
+
+def test_likeness_against_exact_jaccard_at_every_length(spark):
+    """Within five standard errors for each pair and close on average, and 1 only for equal sets."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 3, 5, 6, 8, 20, 66, 66, 150, 400, 2000):
+        for _ in range(25):
+            a = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            b = list(a) if rng.random() < 0.7 else [f"v{x}" for x in rng.integers(0, 10**6, n)]
+            for at in rng.integers(0, n, int(rng.integers(0, max(2, n // 12)))):
+                b[at] = f"x{rng.integers(0, 10**6)}"
+            pairs.append((" ".join(a), " ".join(b)))
+    pairs += [("", ""), ("", "word"), ("word", "WORD"), ("one two", "two one")]
+    frame = spark.createDataFrame(pairs, "a string, b string").coalesce(4)
+    like = sketches.likeness(sketches.sketch(F.col("a")), sketches.sketch(F.col("b")))
+    errors = []
+    for r in frame.select("a", "b", like.alias("like")).collect():
+        true, n = exact_jaccard(r["a"].lower(), r["b"].lower())
+        if n > 40:
+            assert abs(r["like"] - true) <= 5 * max(0.25 / n, true * (1 - true) * sketches.SCALED / n) ** 0.5
+            errors.append(r["like"] - true)
+        assert (true == 1) == (r["like"] == 1)
+        assert true > 0 or r["like"] == 0
+    assert abs(np.mean(errors)) < 0.02
+
+
 # -- secrets --------------------------------------------------------------------------------------------
 
 

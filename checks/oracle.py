@@ -325,6 +325,9 @@ _STATION_HOUR = f"""select station_name, local_hour, round({yes("coalesce(bikes,
 _CITY_RATES = f"""select c.nuid, p.station_name, p.latitude, p.longitude, count(*) as samples,
     round(avg(bikes), 3) as avg_bikes, round({yes("bikes = 0")}, 3) as empty_rate,
     round({yes("bikes <= 1")}, 3) as low_rate from city_sample c join catalog p using (nuid) group by all"""
+_REACHED = """select nuid, station_name, distance_m, count(*) as moves,
+    round(avg(window_minutes), 1) as avg_window_minutes, round(avg(move_m), 0) as avg_move_m
+    from flow where was_in and not is_in group by 1, 2, 3 order by moves desc, station_name, nuid"""
 _RUN_TOTALS = "from runs where collected_at >= timestamp '2000-01-01'"
 
 
@@ -622,6 +625,8 @@ def statements() -> dict[str, str]:
         "city_month_hour": _CITY_MONTH_HOUR,
         "city_month_hour_matrix": _matrix("local_month", _CITY_MONTH_HOUR, "empty_station_rate"),
         "city_station_rates": _CITY_RATES,
+        "emptiest_stations": f"{_CITY_RATES} order by empty_rate desc, nuid limit 15",
+        "station_hour_percent": f"select *, round(empty_rate * 100, 6) as empty_rate_pct from ({_STATION_HOUR})",
         "station_map_table": f"select *, nuid in (select nuid from near) as is_local from ({_CITY_RATES})",
         "worst_months": _series("local_month", "local_hour between '06:00' and '10:00'")
         + " order by all_empty_rate desc, local_month limit 5",
@@ -629,9 +634,8 @@ def statements() -> dict[str, str]:
         "flow_changes": "select * exclude (was_in, is_in) from flow",
         "flow_hourly": f"select *, outbound - inbound as net_outbound from (select local_hour, {_DIRECTION} from flow group by 1)",
         "flow_monthly": f"select *, outbound - inbound as net_outbound from (select local_month, {_DIRECTION} from flow group by 1)",
-        "flow_destinations": """select nuid, station_name, distance_m, count(*) as moves,
-            round(avg(window_minutes), 1) as avg_window_minutes, round(avg(move_m), 0) as avg_move_m
-            from flow where was_in and not is_in group by 1, 2, 3 order by moves desc, station_name, nuid limit 20""",
+        "flow_destinations": f"{_REACHED} limit 20",
+        "flow_destinations_head": f"{_REACHED} limit 12",
         "flow_origins": """select prev_nuid as nuid, prev_name as station_name, prev_distance_m as distance_m,
             count(*) as outbound from flow where was_in and not is_in group by 1, 2, 3""",
         "flow_summary": f"""select count(*) as all_city_moves, {_DIRECTION}, count(distinct bike_uid) as bikes from flow""",

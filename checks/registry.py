@@ -18,6 +18,7 @@ from stationflow.operators.flows import Flows, bike_uid_events
 from stationflow.operators.history import (
     AreaHistory,
     CityHistory,
+    highest,
     history_monthly,
     history_summary,
     station_history_rates,
@@ -27,6 +28,7 @@ from stationflow.operators.history import (
     worst_months,
 )
 from stationflow.operators.moves import Movements
+from stationflow.operators.reports import rates_in_percent
 from stationflow.operators.features import TARGET
 from stationflow.session import settle, shared_folder
 from stationflow.sources import snapshots
@@ -313,6 +315,8 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "city_month_hour": lambda t: _city(t).month_hour(),
     "city_month_hour_matrix": lambda t: _city(t).month_hour_matrix(),
     "city_station_rates": lambda t: _city(t).station_rates(),
+    "emptiest_stations": lambda t: highest(_city(t).station_rates(), "empty_rate", "nuid"),
+    "station_hour_percent": lambda t: rounded(rates_in_percent({"rates": _history(t).station_hours()})["rates"]),
     "station_map_table": lambda t: station_map_table(_city(t).station_rates(), _history(t).stations),
     "worst_months": lambda t: worst_months(_history(t).morning_by_month()),
     "bike_uid_events": lambda t: bike_uid_events(t.changes),
@@ -320,6 +324,7 @@ ON_TABLES: dict[str, Callable[[Tables], DataFrame]] = {
     "flow_hourly": lambda t: _flows(t).hourly(),
     "flow_monthly": lambda t: _flows(t).monthly(),
     "flow_destinations": lambda t: _flows(t).destinations(),
+    "flow_destinations_head": lambda t: _flows(t).destinations(limit=12),
     "flow_origins": lambda t: _flows(t).origins(),
     "flow_summary": lambda t: _flows(t).summary(),
     "morning_flow_totals": lambda t: _flows(t).morning_totals(),

@@ -94,5 +94,5 @@ def require(condition: bool, message: str) -> None:
 
 
 def require_point(lat: float, lon: float) -> None:
-    require(-90 <= lat <= 90, "lat must be between -90 and 90")
-    require(-180 <= lon <= 180, "lon must be between -180 and 180")
+    require(-90 <= lat <= 90, "latitude out of range (90 degrees either way)")
+    require(-180 <= lon <= 180, "longitude out of range (180 degrees either way)")

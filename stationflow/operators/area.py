@@ -43,7 +43,7 @@ class Area:
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
-        require(self.radius_m > 0, "radius_m must be positive")
+        require(self.radius_m > 0, "radius_m: above 0")
 
     @cached_property
     def stations(self) -> DataFrame:
@@ -76,7 +76,7 @@ class Area:
         )
 
     def station_table(self, limit: int = 12) -> DataFrame:
-        require(limit > 0, "limit must be positive")
+        require(limit > 0, "limit: above 0")
         bikes = F.col("num_bikes_available")
         history = self.rows.groupBy("station_id").agg(
             F.count(F.lit(1)).alias("samples"),

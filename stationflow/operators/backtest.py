@@ -41,7 +41,7 @@ def recommendation_choices(
     ``test`` holds dataset rows with ``empty_probability``. The few origins are spread from a literal,
     rows out of range end at once, and all four choices are minima of one aggregation.
     """
-    require(max_distance_m > 0, "max_distance_m must be positive")
+    require(max_distance_m > 0, "max_distance_m: above 0")
     origins = origins or ORIGINS
     places = test.where("has_bike_now and lat is not null and lon is not null").select(
         "collected_at", "station_id", "lat", "lon", "bikes_now", "has_bike_future", "empty_probability"

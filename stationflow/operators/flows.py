@@ -46,7 +46,7 @@ class Flows:
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
-        require(self.max_window_minutes > 0, "max_window_minutes must be positive")
+        require(self.max_window_minutes > 0, "max_window_minutes: above 0")
         if self.catalog is None:
             self.catalog = settle(station_catalog(self.changes), "catalog")
 

@@ -62,7 +62,7 @@ def data_health(
     as_of: datetime | str | None = None,
 ) -> DataFrame:
     """One row of run counts, coverage, row counts and gap figures. ``free=None``: no such table."""
-    require(expected_interval_seconds > 0, "expected_interval_seconds must be positive")
+    require(expected_interval_seconds > 0, "expected_interval_seconds: above 0")
     runs, status = recent(runs, since_hours, as_of), recent(status, since_hours, as_of)
     summary = runs.agg(
         F.count(F.lit(1)).alias("runs"),

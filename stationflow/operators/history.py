@@ -109,7 +109,7 @@ class AreaHistory:
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
-        require(self.radius_m > 0, "radius_m must be positive")
+        require(self.radius_m > 0, "radius_m: above 0")
         if self.catalog is None:
             self.catalog = settle(station_catalog(self.changes), "catalog")
 
@@ -345,3 +345,9 @@ def station_map_table(rates: DataFrame, local: DataFrame) -> DataFrame:
 
 def worst_months(monthly: DataFrame, limit: int = 5) -> DataFrame:
     return monthly.orderBy(F.col("all_empty_rate").desc(), "local_month").limit(limit)
+
+
+def highest(rows: DataFrame, by: str, label: str, limit: int = 15) -> DataFrame:
+    """The rows with the largest values, by label where they tie."""
+    require(limit > 0, "limit: above 0")
+    return rows.orderBy(F.col(by).desc(), F.col(label).asc_nulls_last()).limit(limit)

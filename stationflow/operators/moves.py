@@ -63,10 +63,10 @@ class Movements:
 
     def __post_init__(self) -> None:
         require_point(self.lat, self.lon)
-        require(self.radius_m > 0, "radius_m must be positive")
-        require(self.max_window_minutes > 0, "max_window_minutes must be positive")
-        require(self.open_after_minutes > 0, "open_after_minutes must be positive")
-        require(self.min_move_m >= 0, "min_move_m must be non-negative")
+        require(self.radius_m > 0, "radius_m: above 0")
+        require(self.max_window_minutes > 0, "max_window_minutes: above 0")
+        require(self.open_after_minutes > 0, "open_after_minutes: above 0")
+        require(self.min_move_m >= 0, "min_move_m: 0 or more")
 
     @cached_property
     def stations(self) -> DataFrame:
@@ -205,7 +205,7 @@ class Movements:
         shown = events.select(*EVENT)
         if limit is None:
             return shown
-        require(limit > 0, "limit must be positive")
+        require(limit > 0, "limit: above 0")
         return shown.orderBy(F.col("departed_after").desc(), "bike_id", "status").limit(limit)
 
     def move_events(self, limit: int | None = 30) -> DataFrame:

@@ -207,7 +207,7 @@ def station_profile(status: DataFrame, station_id: str | None = None) -> DataFra
 def station_recent(status: DataFrame, samples: int = 20, station_id: str | None = None) -> DataFrame:
     """Last samples per station. Each task keeps only its own newest rows of a station before the
     shuffle, so a station with many rows costs no more than ``samples`` per task."""
-    require(samples > 0, "samples must be positive")
+    require(samples > 0, "samples: above 0")
     newest = Window.partitionBy("station_id").orderBy(F.col("collected_at").desc())
     recent = _one(status, station_id).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= samples)
     return recent.select(

@@ -37,7 +37,7 @@ class Grid:
     catalog: DataFrame | None = None
 
     def __post_init__(self) -> None:
-        require(self.minutes > 0, "sample_minutes must be positive")
+        require(self.minutes > 0, "sample_minutes: above 0")
 
     @property
     def step_us(self) -> int:

@@ -15,7 +15,7 @@ _RINGS = "array<array<array<double>>>"
 def polygons_column(geojson: str) -> Column:
     """array<polygon>, a polygon being array<ring>, a ring array<[lon, lat]>; first ring outer, others holes."""
     kind = json.loads(geojson).get("type")
-    require(kind in ("Polygon", "MultiPolygon"), f"unsupported boundary geometry type: {kind}")
+    require(kind in ("Polygon", "MultiPolygon"), f"a boundary is a Polygon or MultiPolygon, not {kind}")
     shape = _RINGS if kind == "Polygon" else f"array<{_RINGS}>"
     coordinates = F.from_json(F.lit(geojson), f"coordinates {shape}")["coordinates"]
     return F.array(coordinates) if kind == "Polygon" else coordinates

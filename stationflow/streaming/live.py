@@ -26,8 +26,8 @@ def live_labels(status: DataFrame, later: DataFrame, horizon_minutes: int = 30,
     ``later`` is a second reading of the same source with its own watermark. The interval join keeps
     state only for the band's length; of all rows in the band the earliest is taken.
     """
-    require(horizon_minutes > 0, "horizon_minutes must be positive")
-    require(max_delay_minutes >= horizon_minutes, "max_delay_minutes must be >= horizon_minutes")
+    require(horizon_minutes > 0, "horizon_minutes: above 0")
+    require(max_delay_minutes >= horizon_minutes, "the latest target may not lie before the horizon")
     after = later.select(
         F.col("station_id").alias("later_id"),
         F.col("collected_at").alias("target_collected_at"),

@@ -153,8 +153,8 @@ def depletion_stream(status: DataFrame) -> DataFrame:
 def departure_stream(free: DataFrame, max_window_minutes: int = 240, open_after_minutes: int = 3) -> DataFrame:
     """Departures from known stations: 'not-seen' once a vehicle is overdue, 'seen-again' when it shows
     up elsewhere within the window. A vehicle told as not seen may be seen again later."""
-    require(max_window_minutes > 0, "max_window_minutes must be positive")
-    require(open_after_minutes > 0, "open_after_minutes must be positive")
+    require(max_window_minutes > 0, "max_window_minutes: above 0")
+    require(open_after_minutes > 0, "open_after_minutes: above 0")
     pairs = follow(free, "bike_id", "collected_at", ["station_id"], open_after_minutes * MINUTE_US)
     window = minutes_between(F.col("previous_us"), F.col("us"))
     moved = F.coalesce("station_id", F.lit("")) != F.col("previous_station_id")

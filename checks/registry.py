@@ -145,7 +145,7 @@ def _model_facts(t: Tables, name: str) -> DataFrame:
     metrics belong together."""
     split, folder = _trained(t)
     scored = models.model_predictions(name, models.load_model(f"{folder}/{name}"), split.test)
-    metrics = models.stored_models(t.spark, folder).where(F.col("model") == name)
+    metrics = models.stored_models(t.spark, folder).where(F.col("model") == name).select(F.struct("*").alias("m")).scalar()
     train = split.train.agg(F.struct(F.count("*").alias("n"), F.count_if(TARGET).alias("pos")).alias("f")).scalar()
     hits, y = F.col("y_hat") == F.col("y"), F.col("y")
     facts = scored.groupBy("model").agg(
@@ -155,8 +155,9 @@ def _model_facts(t: Tables, name: str) -> DataFrame:
         F.bool_and(F.col("score").between(0, 1)).alias("scores_in_range"),
         F.bool_and((F.col("score") == 0.5) | ((F.col("score") > 0.5) == F.col("y_hat"))).alias("calls_follow_scores"),
     )
-    agree = (F.abs(F.col("accuracy") - F.col("hit_rate")) < 1e-9) & F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)
-    return facts.join(metrics, "model").select(
+    ranked = metrics["roc_auc"].between(0, 1) & metrics["average_precision"].between(0, 1)
+    agree = (F.abs(metrics["accuracy"] - F.col("hit_rate")) < 1e-9) & ranked
+    return facts.select(
         "model", train["n"].alias("train_rows"), train["pos"].alias("train_positives"), "test_rows", "test_positives", "scores_in_range",
         "calls_follow_scores", agree.alias("metrics_agree"),
     )

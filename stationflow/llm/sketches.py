@@ -58,7 +58,7 @@ def sketch(text: Column, scaled: int = SCALED) -> Column:
     def retained(all_hashes: Column) -> Column:
         mark = F.aggregate(all_hashes, F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(F.xxhash64(h)))
         return F.struct(
-            F.lit(scaled).alias("scaled"), F.size(all_hashes).alias("n"), mark.alias("mark"), F.array_sort(_within(all_hashes, limit)).alias("hashes")
+            F.lit(scaled).alias("scaled"), F.size(all_hashes).alias("n"), mark.alias("mark"), F.sort_array(_within(all_hashes, limit)).alias("hashes")
         )
 
     return bind(words(ascii_lower(text), WHITE), lambda w: bind(_shingles(w), retained))
@@ -100,7 +100,7 @@ def merged(a: Column, b: Column) -> Column:
     """Sketch of two documents taken as one, by the smaller fraction."""
     x, y = _common(a, b)
     scaled = F.greatest(a["scaled"], b["scaled"])
-    hashes = bind(F.array_sort(F.array_union(x, y)), lambda both: _within(both, below(scaled)))
+    hashes = bind(F.sort_array(F.array_union(x, y)), lambda both: _within(both, below(scaled)))
     unknown = F.lit(None)
     return F.struct(scaled.alias("scaled"), unknown.cast("int").alias("n"), unknown.cast("long").alias("mark"), hashes.alias("hashes"))
 

@@ -113,9 +113,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of ``docs``.
+    """(doc_id, text_hash, fp, root, component_id) for every row of ``docs``.
 
-    ``component_id`` is the smallest doc_id that can be reached over fingerprints of at most two different bits. NULL and
+    ``root`` names the component by its smallest fingerprint, ``component_id`` is the smallest doc_id that can be reached over fingerprints of at most two different bits. NULL and
     empty texts have fingerprint 0 and are linked like any other; rows of equal id each give a row; a component of
     NULL ids alone has a NULL id. Copies are first reduced to one row per fingerprint, so groups of copies of any
     size add no links.
@@ -289,9 +289,20 @@ def similar_copies(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without the copies that ``similar_copies`` finds, all columns kept: one row of each component stays,
-    that of its smallest id (NULL ids last, then the smallest hash of the text). Of wholly equal rows one stays."""
-    found = settle(similar_copies(docs), "copies")
+    """Rows of ``docs`` without the copies that ``similar_copies`` finds: one row of each component stays."""
+    return _one_of_each(docs, similar_copies(docs))
+
+
+def without_near_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Rows of ``docs`` without the copies that ``near_copies`` finds: one row of each component stays. Texts without words
+    have the fingerprint 0 in common and so are copies of each other."""
+    return _one_of_each(docs, near_copies(docs, shingle_words))
+
+
+def _one_of_each(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``copies``, all columns kept: that of its smallest id (NULL ids
+    last, then the smallest hash of the text). Of wholly equal rows one stays."""
+    found = settle(copies.select("doc_id", "text_hash", "root"), "copies")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     best = found.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.text_hash")
     id_, hash_ = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")

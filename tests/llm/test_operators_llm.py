@@ -138,6 +138,32 @@ def test_near_copies(documents, odd):
     check_copies(odd)
 
 
+def test_pipeline_keeps_one_of_each_component(spark, documents, odd, monkeypatch):
+    """The pipeline's stage goes by the fingerprints and their index, whatever the columns; copies that share fewer shingles go too."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "similar_copies", None)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5_000, 400)]
+        for edits in (0, 0, 1, 2, 4):
+            copy = list(words)
+            for at in rng.choice(400, edits, replace=False):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows) if rng.random() < 0.9 else None, " ".join(copy)))
+    for frame in (spark.createDataFrame(rows, "doc_id long, text string"), documents, odd):
+        pairs = texts_of(frame)
+        roots = brute_components([print_of(t) for _, t in pairs])
+        least = {}
+        for (doc_id, _), root in zip(pairs, roots):
+            least[root] = min((d for d in (least.get(root), doc_id) if d is not None), default=None)
+        kept = corpus_pipeline.drop_near_copies(spark, frame, "")
+        assert kept.columns == frame.columns
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least.values())
+    assert corpus_pipeline.drop_near_copies(spark, odd.limit(0), "").count() == 0
+
+
 def five_word_set(text: str) -> set:
     words = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else {()}

@@ -45,6 +45,11 @@ def delay(t: Tables) -> str:
     return f"{int(_block(t)[1] * DELAY_BLOCKS)} seconds"
 
 
+def _dealt(docs: DataFrame, files: int) -> DataFrame:
+    """Documents dealt so that a landing writes so many files a day. Days are written side by side, however much has landed."""
+    return docs.repartition(F.to_date("collected_at"), F.pmod(F.xxhash64("collected_at", "part"), F.lit(files)))
+
+
 def landing(t: Tables) -> str:
     """Folder of all snapshots as JSON, out of order, some of them twice, and a marker far ahead that moves the watermark past them.
 
@@ -55,13 +60,13 @@ def landing(t: Tables) -> str:
     if key not in _LANDED:
         folder = f"{shared_folder(t.spark)}/stationflow/landing-{uuid.uuid4().hex}"
         block, _ = _block(t)
-        docs = _instants(t.raw).withColumn("block", block).select("collected_at", "feeds", "block").coalesce(4)
+        docs = _instants(t.raw).withColumn("block", block).select("collected_at", "feeds", "block", "part")
         hour = F.hour("collected_at")
         for place in range(BLOCKS):
             now, before = place ^ 1, (place - 1) ^ 1
             again = (F.col("block") == before) & (hour % 3 == 0) if place else F.lit(False)
-            land_snapshots(docs.where((F.col("block") == now) | again).drop("block"), folder)
-        land_snapshots(docs.where(hour % 5 == 0).drop("block"), folder)
+            land_snapshots(_dealt(docs.where((F.col("block") == now) | again), 4).drop("block", "part"), folder)
+        land_snapshots(_dealt(docs.where(hour % 5 == 0), 4).drop("block", "part"), folder)
         marker = (
             '{"collected_at": "2100-01-01T00:00:00Z", "feeds": {"station_status": {"data": {"stations": [{"station_id": "%s"}]}},'
             ' "free_bike_status": {"data": {"bikes": [{"bike_id": "%s"}]}}}}' % (MARKER, MARKER)
@@ -78,14 +83,14 @@ def ingest_landing(t: Tables) -> str:
     key = (id(t), "ingest")
     if key not in _LANDED:
         folder = f"{shared_folder(t.spark)}/stationflow/landing-{uuid.uuid4().hex}"
-        docs = _instants(t.raw).select("collected_at", "feeds", "part").coalesce(2)
+        docs = _instants(t.raw).select("collected_at", "feeds", "part")
         hour = F.hour("collected_at")
         nameless = F.struct(
             F.struct(F.lit(None).cast("long").alias("last_updated"), F.struct(F.array(F.struct(F.lit(7).alias("num_docks_available"))).alias("stations")).alias("data")).alias("station_status")
         )
         odd = docs.where(hour == 6).select("collected_at").distinct()
         for rows in (docs.where("part % 2 = 0"), docs.where("part % 2 = 1"), docs.where(hour % 4 == 0)):
-            land_snapshots(rows.drop("part"), folder)
+            land_snapshots(_dealt(rows, 2).drop("part"), folder)
         land_snapshots(odd.withColumn("feeds", nameless), folder)
         broken = odd.select(F.concat(F.lit('{"collected_at": "'), F.date_format("collected_at", "yyyy-MM-dd")).alias("value"))
         timeless = odd.select(F.concat(F.lit('{"feeds": {}, "note": "'), F.date_format("collected_at", "yyyy-MM-dd"), F.lit('"}')).alias("value"))

@@ -17,6 +17,7 @@ one file one stays.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,6 +97,10 @@ def _write(rows: DataFrame, root: str, name: str, attempt: str, stamp: str | Non
     rows.withColumns({"date": day, "attempt": F.lit(attempt)}).write.mode("append").partitionBy("date", "attempt").parquet(f"{root}/{name}")
 
 
+def _without(entity: str) -> Callable[[Column], Column]:
+    return lambda row: row[entity].isNull()
+
+
 def _rejected_rows(docs: DataFrame) -> DataFrame:
     """Documents that are none, and rows without an id, as JSON."""
     unread = docs.where("collected_at is null").select(
@@ -107,9 +112,9 @@ def _rejected_rows(docs: DataFrame) -> DataFrame:
     )
     out = unread
     for feed, (items, entity) in FEED_ROWS.items():
-        rows = feed_rows(docs.where("collected_at is not null"), feed, items, "collected_at", keep=["raw_path"])
-        nameless = rows.where(F.col(entity).isNull())
-        row = F.to_json(F.struct(*[c for c in rows.columns if c not in ("collected_at", "raw_path")]))
+        dated = docs.where("collected_at is not null")
+        nameless = feed_rows(dated, feed, items, "collected_at", keep=["raw_path"], only=_without(entity))
+        row = F.to_json(F.struct(*[c for c in nameless.columns if c not in ("collected_at", "raw_path")]))
         out = out.unionByName(
             nameless.select(F.lit(feed).alias("feed"), F.lit("no id").alias("reason"), "collected_at", "raw_path", row.alias("document"))
         )

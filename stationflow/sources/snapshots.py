@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StringType, StructField, StructType
@@ -67,15 +67,19 @@ FEED_ROWS = {
 }
 
 
-def feed_rows(raw: DataFrame, feed: str, items: str, stamp: str, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per entry of a feed's list, with the document's time as ``stamp`` and its columns ``keep``."""
+def feed_rows(
+    raw: DataFrame, feed: str, items: str, stamp: str, keep: Sequence[str] = (), only: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """One row per entry of a feed's list, with the document's time as ``stamp`` and its columns ``keep``. With ``only`` the other
+    entries are left out inside the document, so that no rows are made of them."""
     if feed not in raw.schema["feeds"].dataType.names:
         raw = raw.withColumn("feeds", F.struct(F.lit(None).cast(FEEDS[feed].dataType).alias(feed)))
+    entries = F.col(f"feeds.{feed}.data.{items}")
     exploded = raw.select(
         F.col("collected_at").alias(stamp),
         *keep,
         F.col(f"feeds.{feed}.last_updated").alias("feed_last_updated"),
-        F.explode(f"feeds.{feed}.data.{items}").alias("row"),
+        F.explode(entries if only is None else F.filter(entries, only)).alias("row"),
     )
     return exploded.select(stamp, *keep, "feed_last_updated", "row.*")
 

@@ -159,3 +159,31 @@ def test_ingest_files_each_snapshot_once(spark, tmp_path):
     assert lake.read_runs(spark, root).count() == SNAPSHOTS + 1
     assert lake.read_rows(spark, root, "station_status").count() == SNAPSHOTS * STATIONS + 1
     assert lake.commits(spark, root).count() == 8
+
+
+def test_landing_writes_days_side_by_side(spark, tmp_path):
+    """As many files a day as asked for at most, every document once, and more tasks than files a day."""
+    from checks.streams import _dealt
+
+    days = spark.range(240).select(
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("id") % 30) * 86_400).alias("collected_at"), (F.col("id") / 30).cast("int").alias("part")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = _dealt(days, 2)
+        tasks = dealt.select(F.spark_partition_id().alias("task"), "collected_at").distinct()
+        assert tasks.select("task").distinct().count() > 2
+        assert tasks.groupBy("collected_at").count().agg(F.max("count")).first()[0] <= 2
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, days.collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_rows_without_an_id_are_picked_inside_the_document(spark):
+    from stationflow.sources.schemas import RAW
+    from stationflow.sources.snapshots import feed_rows
+
+    text = '{"collected_at": "2024-01-01T00:00:00Z", "feeds": {"station_status": {"data": {"stations": [{"station_id": "a"}, {"num_docks_available": 7}]}}}}'
+    raw = spark.range(1).select(F.from_json(F.lit(text), RAW).alias("d")).select("d.*")
+    rows = feed_rows(raw, "station_status", "stations", "collected_at", only=lambda row: row["station_id"].isNull())
+    assert [(r.station_id, r.num_docks_available) for r in rows.collect()] == [(None, 7)]

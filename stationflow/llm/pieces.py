@@ -175,7 +175,7 @@ class Codec:
             at = whole.find(" ", start + CHUNK)
             while at > 0 and whole[at - 1] == " ":  # a run of spaces stays before the word that follows it
                 at = whole.find(" ", at + 1)
-            if at < 0:
+            if at < 0 or at == len(whole) - 1:  # a lone last space is no chunk: sentencepiece gives the empty text no ids
                 break
             out.append(whole[start:at])
             start = at

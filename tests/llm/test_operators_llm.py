@@ -336,6 +336,14 @@ def test_pieces_agree_with_sentencepiece(documents, odd):
     assert {tuple(r) for r in back.collect()} == set(texts_of(documents))
 
 
+def test_very_long_texts_keep_their_last_space(monkeypatch):
+    monkeypatch.setattr(pieces, "WHOLE", 1000)
+    code = pieces.codec(PIECES)
+    for text in ("a b " * 3000, "abc" * 3000 + " ", "abc" * 3000 + "  "):
+        (ids, same), = code.encode([text])
+        assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text) and code.decode(ids) == text
+
+
 def test_unigram_models_are_rebuilt():
     def field(number, wire, body):
         return bytes([number << 3 | wire]) + body

@@ -3,22 +3,24 @@
 The model's protobuf is read here, and its normaliser, white-space marker, scores and byte fallback are rebuilt as a
 tokenizers pipeline: a unigram model keeps its scores, a BPE model's scores become the order of its merges. No
 piece of such a model has the marker behind another character, so a text's ids are those of its parts between
-markers. Chunks of texts are encoded in batches over threads, and each whole text's ids are compared with those of the
-sentencepiece library. Where the two differ (long runs of spaces, whose pieces all have one score, which the order of
+markers: of a block of texts each different part is encoded once and its ids are put wherever it stands. Each whole text's
+ids are compared with those of the sentencepiece library. Where the two differ (long runs of spaces, whose pieces all have one score, which the order of
 merges can't express) its ids are taken and the text is marked.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,14 @@ UNIGRAM, BPE = 1, 2
 CHUNK = 4000
 #: Texts up to so many characters are compared as a whole, longer ones chunk by chunk.
 WHOLE = 1 << 20
-#: Texts whose ids are Python lists at a time.
-TEXTS = 64
-#: Threads a task encodes with; Spark's tasks already use every core of an executor.
-THREADS = 2
+#: Characters whose parts are Python strings at a time; a longer chunk is a block of its own.
+BLOCK = 4 << 20
+#: Ids decoded at a time.
+IDS = 1 << 20
+#: A text's parts: each begins with all the spaces before it.
+PART = re.compile(" +[^ ]*|[^ ]+")
+#: Parts that can be told apart again after they were encoded side by side: one space, then no marker.
+SINGLE = rf"\A [^ {MARK}]+\z"
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -134,6 +140,28 @@ def build(model: Model, prefix: bool):
     return tokenizer
 
 
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    """The texts in lists of about ``BLOCK`` characters."""
+    block, chars = [], 0
+    for text in texts:
+        if block and chars + len(text) > BLOCK:
+            yield block
+            block, chars = [], 0
+        block.append(text)
+        chars += len(text)
+    if block:
+        yield block
+
+
+def _joined(values: pa.Array) -> bytes:
+    """The bytes of large strings or binaries one after another, as Arrow holds them."""
+    if not len(values):
+        return b""
+    _, ends, held = values.buffers()
+    ends = np.frombuffer(ends, "<i8")[values.offset :]
+    return held[int(ends[0]) : int(ends[len(values)])].to_pybytes() if held else b""
+
+
 @cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -143,8 +171,7 @@ class Codec:
     """Encodes and decodes texts with one model."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core of an executor
         import sentencepiece
 
         with open(path, "rb") as file:
@@ -156,7 +183,8 @@ class Codec:
         #: A text may be cut before a marker unless a piece, or the character map, could reach over it.
         self.cuts = not inside and not self.model.charsmap and not self.model.squeeze
         self.tokenizer = build(self.model, self.model.dummy_prefix and not self.cuts)
-        self.bytes_of = [self._raw(*piece) for piece in self.model.pieces]
+        self.bytes_of = pa.array([self._raw(*piece) for piece in self.model.pieces], pa.large_binary())
+        self.begins = np.array([text.startswith(MARK) for text, _, _ in self.model.pieces])
 
     def _raw(self, text: str, _score: float, kind: int) -> bytes:
         if kind == BYTE:
@@ -170,8 +198,11 @@ class Codec:
         if not self.cuts:
             return [text]
         whole = f" {text}" if self.model.dummy_prefix else text
+        return [whole] if MARK in text else self._cut(whole)
+
+    def _cut(self, whole: str) -> list[str]:
         out, start = [], 0
-        while MARK not in text and len(whole) - start > CHUNK:
+        while len(whole) - start > CHUNK:
             at = whole.find(" ", start + CHUNK)
             while at > 0 and whole[at - 1] == " ":  # a run of spaces stays before the word that follows it
                 at = whole.find(" ", at + 1)
@@ -184,26 +215,59 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Per text its ids as little-endian unsigned 32-bit numbers, and whether sentencepiece gives the same."""
         cut = [self.chunks(t) for t in texts]
-        encoded = iter(self.tokenizer.encode_batch_fast([c for cs in cut for c in cs], add_special_tokens=False))
-        expected = self.original.encode([t if len(t) <= WHOLE else "" for t in texts], num_threads=THREADS)
+        encoded = chain.from_iterable(map(self._rebuilt, _blocks(chain.from_iterable(cut))))
+        expected = self.original.encode([t if len(t) <= WHOLE else "" for t in texts], num_threads=1, return_type="numpy")
         out = []
         for text, chunks, right in zip(texts, cut, expected):
-            got = list(chain.from_iterable(next(encoded).ids for _ in chunks))
+            got = np.concatenate([np.empty(0, "<i4"), *(next(encoded) for _ in chunks)])
             if len(text) > WHOLE:
                 right = self._in_chunks(chunks)
-            same = got == right
-            out.append((np.array(got if same else right, "<u4").tobytes(), same))
+            same = np.array_equal(got, right)
+            out.append(((got if same else right).astype("<i4").tobytes(), same))
         return out
 
-    def _in_chunks(self, chunks: list[str]) -> list[int]:
+    def _rebuilt(self, chunks: list[str]) -> list[np.ndarray]:
+        """The rebuilt tokenizer's ids of each chunk."""
+        if not self.cuts:
+            return [np.array(ids, "<i4") for ids in self._each(chunks)]
+        parts = [[c] if MARK in c else PART.findall(c) for c in chunks]
+        words = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+        ids, sizes, place = self._parts(words.dictionary)
+        lists = pa.LargeListArray.from_arrays(np.append(0, sizes.cumsum()), ids)
+        spread = lists.take(pa.array(place[words.indices.to_numpy()]))
+        ends = spread.offsets.to_numpy()[np.cumsum([len(p) for p in parts])]
+        return np.split(spread.values.to_numpy(), ends[:-1])
+
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different parts, one part after another; how many each has; and which of them each of ``words`` is.
+
+        Parts of one space are encoded side by side: the first id of each, and no other, begins with a marker.
+        """
+        single = pc.match_substring_regex(words, SINGLE).to_numpy(zero_copy_only=False)
+        beside = _joined(words.filter(pa.array(single))).decode()
+        ids = np.fromiter(chain.from_iterable(self._each(self._cut(beside))), "<i4")
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) < single.sum():  # a model without the marker itself
+            single[:], ids, first = False, ids[:0], first[:0]
+        alone = list(self._each(words.filter(pa.array(~single)).to_pylist()))
+        sizes = np.append(np.diff(np.append(first, len(ids))), np.array([len(x) for x in alone], np.int64))
+        place = np.empty(len(words), np.int64)
+        place[np.append(np.flatnonzero(single), np.flatnonzero(~single))] = np.arange(len(words))
+        return np.append(ids, np.fromiter(chain.from_iterable(alone), "<i4")), sizes, place
+
+    def _each(self, texts: list[str]) -> Iterator[list[int]]:
+        return (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _in_chunks(self, chunks: list[str]) -> np.ndarray:
         """What sentencepiece makes of a very long text, chunk by chunk. It puts its own dummy prefix before a chunk, so the space
         that one begins with is taken off for it."""
         bare = [c[1:] for c in chunks] if self.cuts and self.model.dummy_prefix else chunks
-        return list(chain.from_iterable(map(self.original.encode, bare)))
+        return np.concatenate([self.original.encode(c, return_type="numpy") for c in bare])
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the dummy prefix is taken off, bytes that are no text become U+FFFD."""
-        raw = b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        every = np.frombuffer(ids, "<i4")
+        raw = b"".join(_joined(self.bytes_of.take(pa.array(every[at : at + IDS]))) for at in range(0, len(every), IDS))
         if self.model.dummy_prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
@@ -221,8 +285,7 @@ def encoded(text: Column, path: str) -> Column:
 
         def handle(texts: list[str]) -> list[dict]:
             out = []
-            for at in range(0, len(texts), TEXTS):
-                part = texts[at : at + TEXTS]
+            for part in _blocks(texts):
                 for text, (ids, same) in zip(part, code.encode(part)):
                     fits = code.decode(ids) == text
                     out.append({"ids": np.frombuffer(ids, "<i4"), "ids_crc32": zlib.crc32(ids), "parity": same, "round_trip": fits})

@@ -336,6 +336,36 @@ def test_pieces_agree_with_sentencepiece(documents, odd):
     assert {tuple(r) for r in back.collect()} == set(texts_of(documents))
 
 
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.chars = inner, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+def test_pieces_encode_each_different_part_of_a_block_once(monkeypatch):
+    code = pieces.Codec(PIECES)
+    code.tokenizer = Counting(code.tokenizer)
+    texts = [f"{i} " + "some words that come again and again " * 300 for i in range(20)]
+    for text, (ids, same) in zip(texts, code.encode(texts)):
+        assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text)
+    assert code.tokenizer.chars < 1000 < sum(map(len, texts))
+    odd = ["", " ", "a", " a", "a ", "  a   b ", "a  a a\n  a", "▁", "a ▁ a", "a▁b a▁b", "é é  é 日本語 日本語", "\x00 \x00", "x" * 9000 + " x x", "a b " * 3000]
+    for size in (1, 5000, 1 << 22):
+        monkeypatch.setattr(pieces, "BLOCK", size)
+        for text, (ids, same) in zip(odd, code.encode(odd)):
+            assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text)
+    monkeypatch.setattr(pieces, "WHOLE", 1000)
+    monkeypatch.setattr(pieces, "IDS", 7)
+    for text, (ids, same) in zip(odd, code.encode(odd)):
+        assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text)
+        assert code.decode(ids) == text.replace("▁", " ")
+
+
 def test_very_long_texts_keep_their_last_space(monkeypatch):
     monkeypatch.setattr(pieces, "WHOLE", 1000)
     code = pieces.codec(PIECES)
@@ -344,6 +374,13 @@ def test_very_long_texts_keep_their_last_space(monkeypatch):
         assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text) and code.decode(ids) == text
 
 
+def test_parts_of_a_model_without_the_marker_are_encoded_one_by_one():
+    code = pieces.Codec(PIECES)
+    code.begins = np.zeros_like(code.begins)
+    for text, (ids, same) in zip(("a b a", "b  a"), code.encode(["a b a", "b  a"])):
+        assert same and np.frombuffer(ids, "<u4").tolist() == code.original.encode(text)
+
+
 def test_unigram_models_are_rebuilt():
     def field(number, wire, body):
         return bytes([number << 3 | wire]) + body

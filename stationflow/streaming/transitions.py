@@ -1,128 +1,111 @@
 """Previous-row logic on streams, in event-time order whatever the order of arrival.
 
-A micro-batch holds rows as files arrive. Rows of a key are appended to list state and stay there until an event-time timer
-tells that the watermark has passed the earliest of them; only then is the list read, and what the watermark has passed is
-handled in time order. So a trigger costs what it brings, and the state of a key is its last row and the rows of one delay.
-State is kept by RocksDB, on the executors' disks and in the checkpoint.
+A micro-batch holds rows as files arrive. They wait in buckets of keys (``buckets``) until the watermark has passed them and are
+then handled in time order. So a trigger costs what it brings, and the state of a bucket is the last row of each of its keys and
+the rows of one delay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stationflow.functions.clock import DAY_US, MINUTE_US, floor_div, minutes_between, seconds_between
 from stationflow.functions.rules import require
-
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from stationflow.streaming.buckets import BUCKET, BUCKETS, Bucket, bucket_of, packed, unpacked, use_state_lists
 
 #: Kinds of rows that ``follow`` gives out.
 NEXT, IDLE, LAST = "next", "idle", "last"
 
 
-def use_state_lists(spark: SparkSession) -> None:
-    """List state and timers need the RocksDB state store; a provider that the cluster has named stays."""
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-
-
-def _readers(fields: list[T.StructField]) -> list[Callable]:
-    """Per field, what turns a value of an Arrow frame back into a plain one; NULL numbers arrive as NaN."""
-
-    def reader(kind: T.DataType) -> Callable:
-        plain = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else bool if isinstance(kind, T.BooleanType) else str
-        return lambda v: None if v is None or v is pd.NA or v != v else plain(v)
-
-    return [reader(f.dataType) for f in fields]
-
-
-def _in_time(row: tuple) -> list[tuple]:
-    return [(v is not None, v) for v in row]
-
-
-class Follower(StatefulProcessor):
-    """Hands out the rows of a key in time order, each with the one before it.
+class Follower(Bucket):
+    """Hands out the rows of each key in time order, each with the one before it.
 
     ``idle_us``: tell when a key has shown no row for that long. ``span_us``: the key is the number of a span of time of that
     length; once the watermark has passed its end its last row is told and its state dropped.
     """
 
     def __init__(self, row: T.StructType, columns: list[str], idle_us: int | None, span_us: int | None):
-        self.row, self.columns, self.idle_us, self.span_us = row, columns, idle_us, span_us
+        super().__init__(row)
+        self.columns, self.idle_us, self.span_us = columns, idle_us, span_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.held = handle.getValueState("last", T.StructType([*self.row.fields, T.StructField("told", T.BooleanType())]))
-        self.readers = _readers(self.row.fields)
+        super().init(handle)
+        self.held = handle.getValueState("last", self.STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for batch in rows:
-            columns = [[read(v) for v in batch[f.name]] for read, f in zip(self.readers, self.row.fields)]
-            came = list(zip(*columns))
-            if came:
-                self.waiting.appendList(came)
-                first = min(columns[0])
-                earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self._wake(earliest)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        last, told = None, True
+    def settle(self, rows: pa.Table, passed: int) -> tuple[list[pa.Table], pa.Table]:
+        due = pc.less_equal(rows["us"], passed)
+        ready, rest = rows.filter(due), rows.filter(pc.invert(due))
+        lines = _line(ready, came=True, told=self.idle_us is None)
         if self.held.exists():
-            *last, told = self.held.get()
-        ready, rest = [], []
-        for row in self.waiting.get():
-            (ready if row[0] <= passed else rest).append(tuple(row))
-        blank, out = [None] * len(self.row.fields), []
-        for row in sorted(ready, key=_in_time):
-            if not told and self._overdue(last, row[0] - 1):
-                out.append([IDLE, key[0], *blank, *last])
-            out.append([NEXT, key[0], *row, *(last or blank)])
-            last, told = row, self.idle_us is None
-        if not told and self._overdue(last, passed):
-            out.append([IDLE, key[0], *blank, *last])
-            told = True
-        end = None if self.span_us is None else (key[0] + 1) * self.span_us
-        if end is not None and end <= passed:
-            if last is not None:
-                out.append([LAST, key[0], *blank, *last])
-            self.waiting.clear()
-            self.held.clear()
+            lines = pa.concat_tables([unpacked(self.held.get()), lines])
+        if not lines.num_rows:
+            return [], rest
+        key, *carry = self.row.names
+        # the row held from before is the first of its key
+        order = [(name, "ascending") for name in (key, "came", *carry)]
+        lines = lines.take(pc.sort_indices(lines, order, null_placement="at_start")).combine_chunks()
+        codes = pc.dictionary_encode(lines[key].chunk(0), null_encoding="encode").indices.to_numpy()
+        us, came, told = (lines[name].to_numpy() for name in ("us", "came", "told"))
+        follows = np.append(False, codes[1:] == codes[:-1])
+        last = np.append(~follows[1:], True)
+
+        new = np.flatnonzero(came)
+        out = [self._given(NEXT, lines, new, new, np.where(follows[new], new - 1, -1))]
+        ended = np.zeros(len(us), bool)
+        if self.idle_us is not None:
+            before = new[follows[new]] - 1
+            late = before[~told[before] & (us[before + 1] - 1 >= us[before] + self.idle_us)]
+            quiet = np.flatnonzero(last & ~told & (us + self.idle_us <= passed))
+            out += [self._given(IDLE, lines, at, None, at) for at in (late, quiet)]
+            told = told.copy()
+            told[quiet] = True
+        if self.span_us is not None:
+            ends = (lines[key].to_numpy() + 1) * self.span_us
+            ended = last & (ends <= passed)
+            over = np.flatnonzero(ended)
+            out.append(self._given(LAST, lines, over, None, over))
+            self._wake_at(ends[last & ~ended])
+        keep = last & ~ended
+        if keep.any():
+            kept = lines.take(np.flatnonzero(keep)).select(self.row.names)
+            self.held.update(packed(_line(kept, came=False, told=told[keep])))
+            if self.idle_us is not None:
+                self._wake_at(us[keep & ~told] + self.idle_us)
         else:
-            if ready:
-                self.waiting.put(rest) if rest else self.waiting.clear()
-            if last is not None:
-                self.held.update((*last, told))
-                if not told:
-                    self._wake(last[0] + self.idle_us)
-            if rest:
-                self._wake(min(row[0] for row in rest))
-            if end is not None:
-                self._wake(end)
-        if out:
-            yield pd.DataFrame({name: pd.Series(column, dtype="object") for name, column in zip(self.columns, zip(*out))})
+            self.held.clear()
+        return out, rest
 
-    def close(self) -> None:
-        pass
+    def _given(self, kind: str, lines: pa.Table, key, now, before) -> pa.Table:
+        """Rows to give out by their places in ``lines``; a place below 0 (``now``: None) is NULL."""
+        name, *carry = self.row.names
+        now = np.full(len(key), -1) if now is None else now
+        places = [pa.array(at, pa.int64(), mask=at < 0) for at in (now, before)]
+        parts = [lines[c].take(at) for at in places for c in carry]
+        return pa.table([pa.array([kind] * len(key), pa.string()), lines[name].take(pa.array(key)), *parts], names=self.columns)
+
+    def _wake_at(self, times: np.ndarray) -> None:
+        if len(times):
+            self.wake(int(times.min()))
 
-    def _overdue(self, last, at: int) -> bool:
-        return last is not None and at >= last[0] + self.idle_us
 
-    def _wake(self, us: int) -> None:
-        self.handle.registerTimer(us // 1000 + 1)
+def _line(rows: pa.Table, **flags) -> pa.Table:
+    """``rows`` with flags, each of one value for all rows or of one for each."""
+    for name, value in flags.items():
+        rows = rows.append_column(name, pa.array(np.broadcast_to(value, rows.num_rows), pa.bool_()))
+    return rows
 
 
 def follow(
-    stream: DataFrame, key: str, time: str, carry: list[str], idle_us: int | None = None, span_us: int | None = None
+    stream: DataFrame, key: str, time: str, carry: list[str], idle_us: int | None = None, span_us: int | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """Pairs of consecutive rows per key: ``kind, key, us, <carry>, previous_us, previous_<carry>``.
 
@@ -130,17 +113,17 @@ def follow(
     for that long, and 'last' (with ``span_us``) for the last row of a span, both with a NULL current part.
     """
     use_state_lists(stream.sparkSession)
-    rows = stream.select(key, time, F.unix_micros(time).alias("us"), *carry)
+    rows = stream.select(bucket_of(key, buckets), time, key, F.unix_micros(time).alias("us"), *carry)
     kinds = {f.name: f.dataType for f in rows.schema}
     names = ["us", *carry]
-    row = T.StructType([T.StructField(n, kinds[n]) for n in names])
+    row = T.StructType([T.StructField(n, kinds[n]) for n in (key, *names)])
     schema = T.StructType(
         [T.StructField("kind", T.StringType()), T.StructField(key, kinds[key])]
-        + row.fields
+        + [T.StructField(n, kinds[n]) for n in names]
         + [T.StructField(f"previous_{n}", kinds[n]) for n in names]
     )
     follower = Follower(row, schema.names, idle_us, span_us)
-    return rows.groupBy(key).transformWithStateInPandas(follower, schema, "append", "eventTime")
+    return rows.groupBy(BUCKET).transformWithStateInPandas(follower, schema, "append", "eventTime")
 
 
 def depletion_stream(status: DataFrame) -> DataFrame:

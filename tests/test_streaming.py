@@ -15,7 +15,7 @@ from stationflow.sources import lake
 from stationflow.sources.snapshots import normalize_info, normalize_status, read_raw
 from stationflow.streaming.ingest import free_bike_stream, raw_stream, start_ingest, status_stream
 from stationflow.streaming.live import live_labels, live_runs
-from stationflow.streaming.transitions import departure_stream, depletion_stream, gap_stream
+from stationflow.streaming.transitions import departure_stream, depletion_stream, follow, gap_stream
 
 START = datetime(2024, 3, 30, 22, 0)
 STATIONS, SNAPSHOTS = 5, 24
@@ -81,6 +81,72 @@ def test_depletions_equal_batch_in_any_arrival_order(spark, tmp_path, order):
     assert got.count() == len(want)
 
 
+def land_rows(folder, triggers: list[list[tuple]]) -> str:
+    """One file of status documents per list of (minute, station, bikes), taken in the order given."""
+    folder.mkdir()
+    for at, rows in enumerate(triggers):
+        documents: dict[int, list] = {}
+        for minute, station, bikes in rows:
+            documents.setdefault(minute, []).append({"station_id": station, "num_bikes_available": bikes})
+        lines = [
+            json.dumps({"collected_at": (START + timedelta(minutes=m)).isoformat() + "+00:00", "feeds": {"station_status": {"data": {"stations": r}}}})
+            for m, r in documents.items()
+        ]
+        path = folder / f"{at:04d}.json"
+        path.write_text("\n".join(lines))
+        os.utime(path, (1_700_000_000 + at, 1_700_000_000 + at))
+    return str(folder)
+
+
+def drain_progress(df, tmp_path, name):
+    """Rows, and the progress of each trigger."""
+    writer = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck-{name}"))
+    query = writer.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert not query.isActive
+    return df.sparkSession.table(name).collect(), query.recentProgress
+
+
+def states_of(progress, operator: str) -> int:
+    return max(s["numRowsTotal"] for p in progress for s in p["stateOperators"] if s["operatorName"] == operator)
+
+
+def test_depletions_of_many_stations_share_states(spark, tmp_path):
+    """Python is asked once per bucket and trigger: 5,000 stations make no more states than there are buckets, times two lists."""
+    rows = [(minute, f"s{n}", (n + minute) % 3) for minute in range(4) for n in range(5000)]
+    landing = land_rows(tmp_path / "landing", [rows[10_000:], rows[:10_000], [(10_000, "end", 1)]])
+    stream = status_stream(raw_stream(spark, landing, 1), "2 hours")
+    got, progress = drain_progress(depletion_stream(stream), tmp_path, "depletions_many")
+    want = {(f"s{n}", START + timedelta(minutes=m)) for m in range(1, 4) for n in range(5000) if (n + m) % 3 == 0}
+    assert {(r.station_id, r.collected_at) for r in got} == want and len(got) == len(want)
+    assert states_of(progress, "transformWithStateInPandasExec") <= 2 * 1024
+
+
+def test_follow_keeps_the_keys_of_a_bucket_apart(spark, tmp_path):
+    """Keys, NULL among them, of two buckets: pairs in time order and silences, whatever the order of arrival."""
+    rng = random.Random(5)
+    keys = [None, "", *(f"k{n}" for n in range(12))]
+    rows = [(m, k, rng.choice([None, 0, 1, 7])) for m in range(60) for k in keys if rng.random() < 0.4]
+    shuffled = sorted(rows, key=lambda _: rng.random())
+    landing = land_rows(tmp_path / "landing", [shuffled[i::4] for i in range(4)] + [[(10_000, "end", 1)], [(10_001, "end", 1)]])
+    stream = normalize_status(raw_stream(spark, landing, 1)).withWatermark("collected_at", "3 hours")
+    pairs = follow(stream, "station_id", "collected_at", ["num_bikes_available"], idle_us=3 * 60_000_000, buckets=2)
+    got, _ = drain_progress(pairs, tmp_path, "follow_buckets")
+
+    def us(minute):
+        return int((START + timedelta(minutes=minute) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+
+    want = []
+    for key in keys:
+        mine = sorted((m, v) for m, k, v in [(m, k, -1 if v is None else v) for m, k, v in rows] if k == key)
+        mine = [(us(m), None if v == -1 else v) for m, v in mine]
+        want += [("next", key, *b, *a) for a, b in zip([(None, None), *mine], mine)]
+        nexts = [b[0] for b in mine[1:]] + [us(10_000)]
+        want += [("idle", key, None, None, *a) for a, b in zip(mine, nexts) if b > a[0] + 3 * 60_000_000]
+    found = [tuple(r) for r in got if r.station_id != "end"]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("order", ORDERS)
 def test_departures_in_any_arrival_order(spark, tmp_path, order):
     landing = land(tmp_path / "landing", ORDERS[order])

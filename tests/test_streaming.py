@@ -217,6 +217,32 @@ def test_labels_take_the_first_state_in_the_band(spark, tmp_path):
     assert set(found) == want and len(found) == len(want)
 
 
+def test_labels_of_copies_ties_and_late_rows_in_shared_states(spark, tmp_path):
+    """Copies of rows and several states at one time, in files out of order: one label a row, the lower stock first; many stations share states."""
+    rng = random.Random(9)
+    names = [None, *(f"s{n}" for n in range(3000))]
+    few = names[:40]
+    rows = [(m, k, rng.choice([None, 0, 2, 5])) for m in range(0, 40, 2) for k in few for _ in range(rng.choice([0, 1, 1, 2]))]
+    rows += [(m, k, 3) for m in (8, 15) for k in names[40:]]
+    shuffled = sorted(rows, key=lambda _: rng.random())
+    landing = land_rows(tmp_path / "landing", [shuffled[i::3] for i in range(3)] + [rows[:50], [(10_000, "end", 1)], [(2, "s1", 0), (10_001, "end", 1)]])
+
+    def read():
+        return normalize_status(raw_stream(spark, landing, 1)).withWatermark("collected_at", "2 hours")
+
+    got, progress = drain_progress(live_labels(read(), read(), 3, 7), tmp_path, "labels_shared")
+    states: dict[tuple, int] = {}
+    for m, k, v in rows:
+        states[m, k] = min(v or 0, states.get((m, k), 99))
+    want = []
+    for m, k in states:
+        later = [u for u in range(m + 3, m + 8) if k is not None and (u, k) in states]
+        if later:
+            want.append((k, START + timedelta(minutes=m), START + timedelta(minutes=later[0]), states[later[0], k], states[later[0], k] == 0))
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert states_of(progress, "transformWithStateInPandasExec") <= 2 * 1024
+
+
 def test_ingest_files_each_snapshot_once(spark, tmp_path):
     landing = land(tmp_path / "landing", ORDERS["in_order"])
     root = str(tmp_path / "lake")
